@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, pfp, suffixtree
 
 
 def queries() -> dict:
-    return {"op2_minhash": minhash.op2_minhash}
+    return {"op2_minhash": minhash.op2_minhash, "op4_substring": suffixtree.op4_substring, "op9_pfp": pfp.op9_pfp}
 
 
 def oracle_sql() -> dict:
-    return {"op2_minhash": minhash.ORACLE}
+    return {"op2_minhash": minhash.ORACLE, "op4_substring": suffixtree.ORACLE}
