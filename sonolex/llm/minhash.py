@@ -12,11 +12,11 @@ What meets is confirmed on the full shingle sets:
 1. Texts with one shingle set form a class (its smallest id stands for all), so copies cost a partial
    aggregation.
 2. A half key that one class alone has can't be shared, so only shared half keys of both collections are
-   paired. Every table key links its classes with four centres (the smallest by id and by three hashes).
-   That is linear in the key's classes, however many share it.
-3. Confirmed links are contracted to components. Where the classes of a table key still lie in several
-   components, every class outside the largest of them is compared with those of the other components;
-   so no link among what meets is lost, although no group is expanded into all of its pairs.
+   paired. The centre of a table key is its smallest class; a class is compared with the smallest of its
+   centres, one pair a class however many share a key.
+3. Confirmed links are contracted to components. Components that still share a table key make up a cluster,
+   and every class outside a cluster's largest component is compared with the whole cluster, in blocks; so
+   no link among what meets is lost, although no group is expanded into all of its pairs.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are their own
 component; a text with fewer words than a shingle has one shingle, the whole sequence; ties go to the
@@ -128,6 +128,62 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("u", "v", common.alias("c"), (small + large).alias("t")).where(f"c > 0 and 100 * c >= {threshold} * (t - c)").select("u", "v")
 
 
+def _across(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ask = table["q"].to_numpy(zero_copy_only=False)
+        ids, comp = table["id"].to_numpy(), table["comp"].to_numpy()
+        lists_ = table["s"].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
+        edge = lists_.offsets.to_numpy()
+        flat = lists_.values.to_numpy()
+        size = np.diff(edge)
+        owner = np.repeat(np.arange(len(ids)), size)
+        held = flat[edge[0] : edge[-1]][~ask[owner]]
+        owner = owner[~ask[owner]]
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        us, vs = [], []
+        for i in np.flatnonzero(ask):
+            s = flat[edge[i] : edge[i + 1]]
+            lo, hi = np.searchsorted(held, s, "left"), np.searchsorted(held, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(ids))
+            ok = np.flatnonzero((common > 0) & (comp != comp[i]) & (100 * common >= threshold * (len(s) + size - common)))
+            ok = ok[np.unique(comp[ok], return_index=True)[1]]  # one link to a component joins it
+            us += np.maximum(ids[i], ids[ok]).tolist()
+            vs += np.minimum(ids[i], ids[ok]).tolist()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
+BLOCK = 512
+
+
+def _compared(left: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    """Links between the components that still share a table key, in blocks of ``BLOCK`` by ``BLOCK`` classes.
+
+    Components that share keys make up a cluster. Every class outside a cluster's largest component is compared with
+    all of the cluster, so each pair of classes from different components is looked at: at least one of the two is
+    outside the largest. A block gets its sets once and gives links only.
+    """
+    edges = left.where("comp <> top").select(F.col("comp").alias("u"), F.col("top").alias("v")).distinct()
+    clusters = scratch.save(connected_components(edges, scratch, "clusters"), "clusters")
+    member = left.select("id", "comp").distinct().join(clusters.withColumnRenamed("node", "comp"), "comp").withColumnRenamed("component", "g")
+    member = scratch.save(member, "member")
+    sizes = member.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"))
+    sizes = sizes.select("g", F.col("most.comp").alias("top"), F.ceil(F.col("n") / BLOCK).alias("nm"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("nq"))
+    rows = member.join(sizes, "g").withColumn("h", F.xxhash64("id", F.lit(17)))
+    part = lambda n: F.pmod("h", F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    m = rows.select("g", part("nm").alias("i"), every("nq").alias("j"), "id", "comp", F.lit(False).alias("q"))
+    q = rows.where("comp <> top").select("g", every("nm").alias("i"), part("nq").alias("j"), "id", "comp", F.lit(True).alias("q"))
+    both = m.unionByName(q).join(sets, "id")
+    return both.groupBy("g", "i", "j").applyInArrow(_across(threshold), "u long, v long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, tables: int = TABLES, half: int = HALF
 ) -> DataFrame:
@@ -143,33 +199,27 @@ def near_duplicates(
     reps = scratch.save(sketch.join(classes.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"]).select("id", "a", "b"), "reps")
     met = _shared(reps, "a").join(_shared(reps, "b"), "id")
     rows = met.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
-    salts = [F.min(F.struct(F.xxhash64("id", F.lit(s)), "id"))["id"].alias(f"c{s}") for s in (1, 2, 3)]
     rows = scratch.save(rows, "rows")
-    tops = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c0"), *salts).where("n > 1")
-    tops = scratch.save(tops.select("key", "n", F.array_distinct(F.array("c0", "c1", "c2", "c3")).alias("cs")), "tops")
-    pairs = rows.join(tops, "key").select("id", F.explode("cs").alias("c")).where("id <> c")
-    pairs = scratch.save(pairs.select(F.greatest("id", "c").alias("u"), F.least("id", "c").alias("v")).distinct(), "pairs")
-    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = scratch.save(spread(docs.join(ends, "id").dropDuplicates(["id"])).mapInArrow(_sets(shingle), "id long, s array<long>"), "sets")
+    tops = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1").select("key", "c")
+    met = scratch.save(rows.join(tops, "key"), "met")
+    pairs = met.groupBy(F.col("id").alias("u")).agg(F.min("c").alias("v")).where("u <> v")
+    pairs = scratch.save(pairs, "pairs")
+    sets = spread(docs.join(met.select("id").distinct(), "id").dropDuplicates(["id"]))
+    sets = scratch.save(sets.mapInArrow(_sets(shingle), "id long, s array<long>"), "sets")
     links = scratch.save(_linked(pairs, sets, threshold), "links")
     comps = scratch.save(connected_components(links, scratch), "comps")
 
-    crowd = rows.join(tops.where("n > 2").select("key", "cs"), "key")
-    crowd = crowd.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "cs", F.coalesce("component", "id").alias("comp"))
-    sizes = crowd.groupBy("key", "comp").agg(F.count("*").alias("n"), F.first("cs").alias("cs"))
+    crowd = met.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    sizes = crowd.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.count("*").alias("comps")).where("comps > 1")
     left = scratch.save(crowd.join(mixed.select("key", "top"), "key"), "left")
     if not left.isEmpty():
-        q = left.where("comp <> top").select("key", F.col("id").alias("q"), F.col("comp").alias("cq"), "cs")
-        m = left.select("key", F.col("id").alias("m"), F.col("comp").alias("cm"))
-        rest = q.join(m, "key").where("cq <> cm and not array_contains(cs, q) and not array_contains(cs, m)")
-        rest = rest.select(F.greatest("q", "m").alias("u"), F.least("q", "m").alias("v")).distinct()
-        more = _linked(rest, sets, threshold)
-        joined = links.unionByName(more)
-        comps = scratch.save(connected_components(joined, scratch, "cc2"), "comps2")
+        more = _compared(left, sets, scratch, threshold)
+        comps = scratch.save(connected_components(links.unionByName(more), scratch, "cc2"), "comps2")
     found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    found = scratch.save(found, "found")  # so that Spark can split the rows of a class that many copies share
     out = sketch.select("id", "n", "f1", "f2").join(found, ["n", "f1", "f2"], "left")
-    scratch.drop("reps", "rows", "tops", "pairs", "sets", "links", "left")
+    scratch.drop("reps", "rows", "met", "pairs", "sets", "links", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 

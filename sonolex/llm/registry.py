@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import minhash, pfp, suffixtree
+from . import langid, minhash, packing, pfp, repair, suffixtree, toxicity
 
 
 def queries() -> dict:
-    return {"op2_minhash": minhash.op2_minhash, "op4_substring": suffixtree.op4_substring, "op9_pfp": pfp.op9_pfp}
+    return {
+        "op2_minhash": minhash.op2_minhash,
+        "op3_packing": packing.op3_packing,
+        "op4_substring": suffixtree.op4_substring,
+        "op6_langid": langid.op6_langid,
+        "op7_repair": repair.op7_repair,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_pfp": pfp.op9_pfp,
+    }
 
 
 def oracle_sql() -> dict:

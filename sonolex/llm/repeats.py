@@ -7,8 +7,9 @@ bounded size, where the operator's own method (suffix trees, prefix-free parsing
 
 * Texts with one unit sequence form a class first. If it has two members, all their windows are repeats; the smallest
   id stands for it against the rest.
-* An anchor that more than ``HOT`` slices share isn't gathered: its windows are keyed by a longer prefix, the whole
-  window, and counted with a partial aggregation.
+* An anchor that more than ``HOT`` slices share isn't gathered: its slices are keyed by longer prefixes. First equal
+  slices are counted with a partial aggregation, which settles all but one of each kind; then the windows of those that
+  are left are counted by their own hash.
 * Groups are read in hash order and solved in parts of ``PART`` bytes; a group is never cut.
 """
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bytes_of, lists, mix, pieces, prepare, spread
+from .common import _BASE, _INVERSE, Scratch, bytes_of, lists, mix, pieces, powers, prepare, spread
 
 HOT, PART = 2000, 2 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -106,7 +107,7 @@ SCAN = "id long, n long, f1 long, f2 long, h array<long>, lo array<int>, cnt arr
 
 
 def _slices(units, window: int):
-    """Text slices of the shared anchors; windows of hot ones singly, by their own hash and without text."""
+    """Text slices of the shared anchors, with a hash of the slice."""
 
     def run(batches):
         for part in pieces(batches, 1 << 20):
@@ -114,33 +115,48 @@ def _slices(units, window: int):
             own, _, starts, ends, border = units(data, offsets)
             found = part.column("at")
             edge = found.offsets.to_numpy()
-            flat = found.values
-            cols = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("h", "lo", "cnt", "hot")}
-            count = np.diff(edge)
-            text = np.repeat(np.arange(part.num_rows), count)
             take = slice(edge[0], edge[-1])
-            h, lo, cnt, hot = (cols[c][take] for c in ("h", "lo", "cnt", "hot"))
-            hot = hot.astype(bool)
+            h, lo, cnt, hot = (found.values.field(c).to_numpy(zero_copy_only=False)[take] for c in ("h", "lo", "cnt", "hot"))
+            text = np.repeat(np.arange(part.num_rows), np.diff(edge))
             unit = border[:-1][text] + lo
-            ids = part.column("id").to_numpy()[text]
-            key, who, where, many = h[~hot], ids[~hot], lo[~hot], cnt[~hot]
             raw = data.tobytes()
-            body = [raw[a:b] for a, b in zip(starts[unit[~hot]], ends[unit[~hot] + cnt[~hot] + window - 2])]
+            body = [raw[a:b] for a, b in zip(starts[unit].tolist(), ends[unit + cnt + window - 2].tolist())]
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * powers(len(own), _BASE)[: len(own)], out=sums[1:])
+            slice_hash = mix((sums[unit + cnt + window - 1] - sums[unit]) * powers(len(own), _INVERSE)[unit] + cnt.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(who, pa.int64()), pa.array(where, pa.int32()), pa.array(many, pa.int32()), pa.array(body, pa.binary())], ["h", "id", "lo", "cnt", "body"]
+                [
+                    pa.array(h, pa.int64()),
+                    pa.array(part.column("id").to_numpy()[text], pa.int64()),
+                    pa.array(lo, pa.int32()),
+                    pa.array(cnt, pa.int32()),
+                    pa.array(body, pa.binary()),
+                    pa.array(slice_hash.view(np.int64)),
+                    pa.array(hot, pa.bool_()),
+                ],
+                ["h", "id", "lo", "cnt", "body", "sh", "hot"],
+            )
+
+    return run
+
+
+def _windows(units, window: int):
+    """(w, id, lo, many) for each window of a slice, w its hash."""
+
+    def run(batches):
+        for part in pieces(batches, 1 << 20, "body"):
+            data, offsets = bytes_of(part.column("body"))
+            own, _, _, _, border = units(data, offsets)
+            cnt = part.column("cnt").to_numpy()
+            step = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+            s = np.repeat(border[:-1], cnt) + step
+            key = np.zeros(len(s), np.uint64)
+            for i in range(window):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[s + i])
+            rest = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), cnt) for c in ("id", "lo", "many")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(rest[0]), pa.array(rest[1] + step, pa.int32()), pa.array(rest[2].astype(bool))], ["w", "id", "lo", "many"]
             )
-            if hot.any():
-                rep = cnt[hot]
-                step = np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
-                s = np.repeat(unit[hot], rep) + step
-                key = np.zeros(len(s), np.uint64)
-                for i in range(window):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[s + i])
-                one = np.ones(len(s), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(np.repeat(ids[hot], rep), pa.int64()), pa.array(np.repeat(lo[hot], rep) + step, pa.int32()), pa.array(one), pa.nulls(len(s), pa.binary())],
-                    ["h", "id", "lo", "cnt", "body"],
-                )
 
     return run
 
@@ -205,15 +221,21 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     rows = reps.select("id", F.explode(F.arrays_zip("h", "lo", "cnt")).alias("a")).select("id", "a.*")
     rows = scratch.save(rows, "rows")
     counts = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
+    counts = scratch.save(counts, "counts")  # so that Spark can split the rows of a hot anchor
     shared = rows.join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "lo", "cnt", "hot")).alias("at"))
     cut = docs.join(shared, "id").select("id", "text", F.expr("array_sort(at, (x, y) -> x.lo - y.lo)").alias("at"))
-    slices = scratch.save(cut.mapInArrow(_slices(units, window), "h long, id long, lo int, cnt int, body binary"), "slices")
-    cold = spread(slices.where("body is not null"), "h").sortWithinPartitions("h").mapInArrow(_solve(solver, window), "id long, lo int, hi int")
-    hot = slices.where("body is null").select("h", "id", "lo")
-    again = hot.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    hot = hot.join(again, "h").select("id", "lo", (F.col("lo") + window).alias("hi"))
+    slices = scratch.save(cut.mapInArrow(_slices(units, window), "h long, id long, lo int, cnt int, body binary, sh long, hot boolean"), "slices")
+    cold = spread(slices.where("not hot").drop("sh", "hot"), "h").sortWithinPartitions("h").mapInArrow(_solve(solver, window), "id long, lo int, hi int")
+    kinds = slices.where("hot").groupBy("h", "sh", "cnt").agg(F.count("*").alias("c"), F.min(F.struct("id", "lo")).alias("first"))
+    kinds = scratch.save(kinds, "kinds")
+    hot = scratch.save(slices.where("hot").join(kinds, ["h", "sh", "cnt"]), "hot")
+    alike = hot.where("c > 1").select("id", "lo", (F.col("lo") + F.col("cnt") + (window - 1)).alias("hi"))
+    single = hot.where("first = struct(id, lo)").select("id", "lo", "cnt", "body", (F.col("c") > 1).alias("many"))
+    single = scratch.save(single.mapInArrow(_windows(units, window), "w long, id long, lo int, many boolean"), "windows")
+    again = single.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
+    hot = alike.unionByName(single.where("not many").join(again, "w").select("id", "lo", (F.col("lo") + window).alias("hi")))
     spans = scratch.save(cold.unionByName(hot), "spans")
-    scratch.drop("scan", "classes", "rows", "slices")
+    scratch.drop("scan", "classes", "rows", "counts", "slices", "kinds", "hot", "windows")
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("whole", F.lit(False))
     marks = marks.join(copied, "id", "left_anti")
     marks = marks.unionByName(copied.select("id", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(True).alias("whole")))
