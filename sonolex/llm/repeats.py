@@ -208,8 +208,8 @@ def _solve(solver, window: int):
 
 
 def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) -> tuple[DataFrame, Scratch]:
-    """docs (id, text) -> (id, text, n, all, spans): n units; all: every window is a repeat; spans of units to remove."""
-    spark = docs.sparkSession
+    """docs (id, text, more) -> the same with (whole, spans): whether every window is a repeat, else the spans of units to remove."""
+    spark, carried, docs = docs.sparkSession, docs, docs.select("id", "text")
     prepare(spark)
     scratch = Scratch(spark, tag)
     scan = scratch.save(docs.mapInArrow(_scan(units, window, gram), SCAN), "scan")
@@ -239,7 +239,7 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("whole", F.lit(False))
     marks = marks.join(copied, "id", "left_anti")
     marks = marks.unionByName(copied.select("id", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(True).alias("whole")))
-    return docs.join(marks, "id", "left").select("id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"), scratch
+    return carried.join(marks, "id", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), scratch
 
 
 def removed_units(whole: np.ndarray, spans, border: np.ndarray) -> np.ndarray:

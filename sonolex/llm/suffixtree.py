@@ -68,7 +68,7 @@ def _solver(window: int):
     return solve
 
 
-def _kept(batches):
+def _kept(batches, all_texts=True):
     for part in pieces(batches, 1 << 20):
         data, offsets = bytes_of(part.column("text"))
         starts, ends, _, border = words(data, offsets)
@@ -79,22 +79,32 @@ def _kept(batches):
         for i in range(part.num_rows):
             a, b = border[i], border[i + 1]
             if not lost[i]:
-                texts.append(b" ".join(raw[offsets[i] : offsets[i + 1]].split()))
+                own = raw[offsets[i] : offsets[i + 1]]
+                texts.append(b" ".join(own.split()) if all_texts else own)
             else:
                 keep = np.flatnonzero(~gone[a:b]) + a
                 texts.append(b" ".join([raw[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist())]))
+        rest = [c for c in part.schema.names if c.startswith("rest_")]
         yield pa.RecordBatch.from_arrays(
-            [part.column("id"), pa.array(np.diff(border), pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"]
+            [part.column("id"), pa.array(np.diff(border), pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), *[part.column(c) for c in rest]],
+            ["id", "n_words", "n_removed", "kept", *rest],
         )
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_removed, kept): texts without the words that a repeated window of ``window`` words covers."""
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None, all_texts: bool = True) -> DataFrame:
+    """(id, n_words, n_removed, kept, carried columns): texts without the words that a repeated window covers.
+
+    Kept words are joined by one space; with all_texts=False a text that loses nothing stays as it is.
+    """
     if window < GRAM:
         raise ValueError(f"window must be {GRAM} or more")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    carry = carry or []
+    rest = [F.col(f"`{c}`").alias(f"rest_{i}") for i, c in enumerate(carry)]
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *rest)
     marked, _ = repeats(docs, _units, _solver(window), window, GRAM, "suffixtree")
-    return marked.mapInArrow(_kept, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    kinds = "".join(f", rest_{i} {docs.schema[f'rest_{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    out = marked.mapInArrow(lambda b: _kept(b, all_texts), "id long, n_words long, n_removed long, kept string" + kinds)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {f: float(w[i]) for f, i in kept.items()}, bias
 
 
-def _scores(shared):
+def _scores(shared, keep_text: bool):
     def run(batches):
         weight, bias = shared.value
         memory: dict[str, tuple[int, ...]] = {}
@@ -151,18 +151,29 @@ def _scores(shared):
                         found.update(own)
                 total.append(sum(weight[f] for f in sorted(found)))
             score = 1 / (1 + np.exp(-np.clip(np.array(total) + bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score)], ["id", "score"])
+            rest = [c for c in part.schema.names if c != "text" or keep_text]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(score)], [*rest, "__score"])
 
     return run
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): 0 to 1, higher where label 1 is likelier."""
-    spark = docs.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scores(shared), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), False), f"id {kind}, __score double")
+    return out.select(F.col("id").alias(id_col), F.col("__score").alias("score"))
+
+
+def without_toxic(docs: DataFrame, model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score below the limit; scored in place, without a join."""
+    prepare(docs.sparkSession)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" if c != text_col else "text" for i, c in enumerate(names)])
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    out = rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), True), f"{schema}, __score double")
+    return out.where(F.col("__score") < limit).drop("__score").toDF(*names)
 
 
 def held_out(id_col: str = "doc_id"):
