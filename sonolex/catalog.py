@@ -1,15 +1,376 @@
-"""Queries and oracle SQL of the search engine."""
+"""Queries and oracle SQL of the search engine.
+
+Names come from the tables' short texts; CJK cases come from inline rows. ``_values`` writes the same rows into the SQL.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .functions import phonetics, text as T
+from .operators import highlight, index as ix, match, tokenize as tk
+from .operators.search import search
+from .sources import corpus, dictionaries
+
+CORPUS = [(0, "ミーティア"), (1, "エンドマークに希望と涙を添えて"), (2, "宵の鳥"), (3, "僕の和風本当上手"), (4, "你好世界"), (5, "こんにちは"), (6, "a-b 今日"), (7, "ガ")]
+SCALAR = ["あいうえお", "ABC", "abc123", "あアa漢", "ＡＢＣ", "１２３", "！＠＃", "ｱｲｳｴｵ", "ｶｷｸｹｺ", "｡｢｣､･", "か゛", "ﾊﾟ", "Straße É", "漢字", "㍿", "　x", ""]
+ROMAJI = ["shimbun", "toukyou", "sa-ba-", "ookii", "tsuchi", "jisho", "kyou", "mmb", "aaa", "", "chikashitsu"]
+KANA = ["あ", "か", "さくら", "ア", "カ", "サクラ", "おう", "おお", "ー", "ゃ", "っ", "かった", "キャ", "ジョウ", "サー", "ボク", "漢", "ロッチ", "キョウ"]
+QUERIES = [(0, "smrng"), (1, "plr"), (2, "bt"), (3, "an"), (4, "zq"), (5, "dr ")]
+
+
+def _values(rows, names: str) -> str:
+    lit = lambda x: f"{x}" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
+
+
+def _inline(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.where("p_name is not null").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("doc_id")).select("doc_id", "text")
+
+
+_PART = "part_docs AS (SELECT min(p_partkey) AS doc_id, p_name AS text FROM part WHERE p_name IS NOT NULL GROUP BY p_name)"
+
+
+def _index(spark, sf_dir) -> ix.Index:
+    return ix.build(_part(spark, sf_dir))
+
+
+def _raw_search(queries, where: str = "true", k: int | None = None, order: str = "text", extra: str = "", project: str = "") -> str:
+    """The search over Raw tokens alone: each query character takes a later place; white space inside is passed over."""
+    rows = [(i, q) for i, q in queries if q.strip() and not q[-1].isspace()]
+    project = project or "query_id, rank, doc_id, text, range_count, prefix_match_count, match_ratio, match_ratio_level"
+    return f"""
+WITH RECURSIVE {_PART}, d AS (SELECT p.*, length(text) AS n FROM part_docs p WHERE {where}),
+q AS (SELECT query_id::BIGINT AS query_id, regexp_replace(lower(query), '\\s', '', 'g') AS q FROM {_values(rows, "query_id, query")}),
+c AS (SELECT doc_id, text, n, i - 1 AS st, i AS en, lower(substr(text, i, 1)) AS ch FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d)),
+s AS (
+  SELECT query_id, q, doc_id, text, n, 1 AS k, 1 AS ranges, st AS first, st, en FROM q JOIN c ON ch = substr(q, 1, 1)
+  UNION ALL
+  SELECT s.query_id, s.q, s.doc_id, s.text, s.n, s.k + 1, s.ranges + (trim(substr(s.text, s.en + 1, c.st - s.en)) <> '')::INT, s.first, c.st, c.en
+  FROM s JOIN c ON c.doc_id = s.doc_id AND c.ch = substr(s.q, s.k + 1, 1) AND c.st >= s.en
+  QUALIFY row_number() OVER (PARTITION BY s.query_id, s.doc_id, c.en ORDER BY s.ranges + (trim(substr(s.text, s.en + 1, c.st - s.en)) <> '')::INT, s.first, s.en) = 1
+), b AS (
+  SELECT *, length(q) / n::DOUBLE AS ratio FROM s WHERE k = length(q)
+  QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ranges, first, st) = 1
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY ranges, first, floor(ratio * 5 + 0.5) DESC, st, en, ratio DESC, {order}, doc_id))::INT AS rank,
+    doc_id, text, ranges::INT AS range_count, 0::INT AS prefix_match_count, ratio AS match_ratio, floor(ratio * 5 + 0.5)::INT AS match_ratio_level
+  FROM b
+)
+SELECT {project} FROM r {f"WHERE rank <= {k}" if k else ""} {extra}"""
+
+
+def _results(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "rank", "doc_id", "text", "range_count", "prefix_match_count", "match_ratio", "match_ratio_level")
+
+
+def _ask(spark, rows=QUERIES):
+    return _inline(spark, rows, "query_id long, query string")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(search(_index(spark, sf_dir), "smrng"))
+
+
+# --- scalar functions ---------------------------------------------------------------------------------------------------------
+
+
+def _scalar(rows, name, f):
+    return lambda spark, sf_dir: _inline(spark, [(x,) for x in rows], "s string").select("s", f(F.col("s")).alias(name))
+
+
+def _translate_sql(s: str, a: str, b: str) -> str:
+    return f"translate({s}, '{a}', '{b}')"
+
+
+def _norm(s: str) -> str:
+    lower = f"array_to_string([lower(c) FOR c IN regexp_extract_all({s}, '(?s).')], '')"
+    return _translate_sql(lower, T.WIDE.replace("'", "''"), T.PLAIN.replace("'", "''"))
+
+
+def _rules_sql(s: str, rules, rounds: int) -> str:
+    for _ in range(rounds):
+        for a, b in rules:
+            s = f"replace({s}, '{a}', '{b}')"
+    return s
+
+
+def norm_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return docs.select("item_id", T.normalize(F.col("text")).alias("norm"))
+
+
+def classes(spark, sf_dir):
+    rows = _inline(spark, [(x,) for x in SCALAR], "s string")
+    s = F.col("s")
+    return rows.select("s", T.is_han(s).alias("han"), T.is_kana(s).alias("kana"), T.is_maybe_japanese(s).alias("japanese"), T.is_sound_mark(s).alias("mark"), T.strip_sound_marks(s).alias("stripped"))
+
+
+def code_points(spark, sf_dir):
+    rows = _inline(spark, CORPUS, "doc_id long, text string")
+    return rows.select("doc_id", F.posexplode(T.code_points(F.col("text"))).alias("pos", "ch")).withColumn("cp", F.ascii("ch"))
+
+
+def pinyin_candidates(spark, sf_dir):
+    rows = dictionaries.sample(spark).pinyin_readings
+    return rows.select("ch", F.explode(phonetics.pinyin_candidates(F.col("reading"))).alias("candidate")).distinct()
+
+
+_PY = dictionaries.PINYIN.split()
+_PINYIN_ROWS = list(zip(_PY[::2], _PY[1::2]))
+
+
+def normal_forms(spark, sf_dir):
+    f = F.udf(lambda s: phonetics.normal_forms(s), "array<string>", useArrow=True)
+    return _inline(spark, [(x,) for x in ROMAJI], "s string").select("s", F.explode(f("s")).alias("form"))
+
+
+# --- dictionaries, tokens, index ----------------------------------------------------------------------------------------------
+
+
+def variant_components(spark, sf_dir):
+    return dictionaries.sample(spark).han_variants
+
+
+_VA = dictionaries.VARIANTS.split()
+_VARIANT_ROWS = list(zip(_VA[::2], _VA[1::2]))
+
+
+def tokenize_raw(spark, sf_dir):
+    return tk.raw_tokens(_part(spark, sf_dir)).select("doc_id", "type", "text", "start", "end")
+
+
+_RAW = f"""{_PART}, o AS (
+  SELECT doc_id, lower(substr(text, i, 1)) AS text, (i - 1)::INT AS st, i::INT AS en FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM part_docs)
+  WHERE trim(substr(text, i, 1)) <> ''
+), k AS (SELECT (row_number() OVER (ORDER BY text) - 1)::BIGINT AS token_id, text FROM (SELECT DISTINCT text FROM o))"""
+
+
+def token_dictionary(spark, sf_dir):
+    return _index(spark, sf_dir).tokens
+
+
+def postings(spark, sf_dir):
+    rows = _index(spark, sf_dir).postings
+    flat = F.array_join(F.transform("offsets", lambda o: F.concat_ws("-", o["start"].cast("string"), o["end"].cast("string"))), " ")
+    return rows.select("token_id", "doc_id", F.size("offsets").alias("n"), flat.alias("places"))
+
+
+def token_prefixes(spark, sf_dir):
+    index = ix.build(_inline(spark, CORPUS, "doc_id long, text string"), dictionaries.sample(spark))
+    rows = index.token_prefixes.join(index.tokens.select("token_id", "text"), "token_id")
+    return rows.select("trie", "prefix", "text", "is_exact")
+
+
+def runs_islands(spark, sf_dir):
+    return tk.runs(_inline(spark, CORPUS, "doc_id long, text string")).select("doc_id", F.col("start").cast("int").alias("start"), "run")
+
+
+def phrases(spark, sf_dir):
+    found = tk.phrases(tk.runs(_inline(spark, CORPUS, "doc_id long, text string")), 4)
+    return found.select("doc_id", (F.col("start") + F.col("at")).cast("int").alias("start"), F.col("len").cast("int").alias("len"), "phrase")
+
+
+def kana_readings_lookup(spark, sf_dir):
+    found = tk.phrases(tk.runs(_inline(spark, CORPUS, "doc_id long, text string")), 4)
+    rows = tk.kana_readings(found, dictionaries.sample(spark))
+    return rows.select("doc_id", (F.col("start") + F.col("at")).cast("int").alias("start"), "phrase", "reading")
+
+
+def tokenize_cjk(spark, sf_dir):
+    rows = tk.tokenize(_inline(spark, CORPUS, "doc_id long, text string"), dictionaries.sample(spark))
+    return rows.select("doc_id", tk.type_name(F.col("type")).alias("type"), "text", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
+def atomic_readings(spark, sf_dir):
+    return tokenize_cjk(spark, sf_dir).where("type in ('Kana', 'Romaji')")
+
+
+def inspect_tokens(spark, sf_dir):
+    docs = _part(spark, sf_dir)
+    return tk.inspect_tokens(docs, tk.raw_tokens(docs)).select("doc_id", F.col("seq").cast("int").alias("pos"), "line")
+
+
+def distinct_titles(spark, sf_dir):
+    return corpus.distinct_texts(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_name")
+
+
+def text_lines(spark, sf_dir):
+    from .sources.storage import scratch_path
+
+    path = scratch_path(spark, "lines")
+    spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").write.mode("overwrite").text(path)
+    return corpus.from_lines(spark, path).select("text")
+
+
+def index_roundtrip(spark, sf_dir):
+    """Searches an index that was written and read again, with documents given at load."""
+    from .sources.storage import scratch_path
+
+    path, built = scratch_path(spark, "index"), _index(spark, sf_dir)
+    built.write(path, bundle_documents=False)
+    return _results(search(ix.load(spark, path, built.documents), "smrng"))
+
+
+def index_json(spark, sf_dir):
+    return _index(spark, sf_dir).to_json()
+
+
+# --- search -------------------------------------------------------------------------------------------------------------------
+
+
+def segments(spark, sf_dir):
+    return match.segments(_ask(spark)).select("query_id", "l", "r", "n", "seg", "bare")
+
+
+def search_raw(spark, sf_dir):
+    return _results(search(_index(spark, sf_dir), "smrng"))
+
+
+def search_batch(spark, sf_dir):
+    return _results(search(_index(spark, sf_dir), _ask(spark)))
+
+
+def search_filter(spark, sf_dir):
+    return _results(search(_index(spark, sf_dir), _ask(spark), where=F.col("doc_id") % 2 == 0))
+
+
+def search_allowed(spark, sf_dir):
+    some = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size > 20").select(F.col("p_partkey").alias("doc_id"))
+    return _results(search(_index(spark, sf_dir), _ask(spark), allowed=some))
+
+
+def search_topk(spark, sf_dir):
+    return _results(search(_index(spark, sf_dir), _ask(spark), k=5))
+
+
+def search_custom_order(spark, sf_dir):
+    return _results(search(_index(spark, sf_dir), _ask(spark), order_by=[F.desc("doc_id")]))
+
+
+def highlight_raw(spark, sf_dir):
+    rows = search(_index(spark, sf_dir), "smrng")
+    shown = F.array_join(F.transform(highlight.highlights(), lambda p: F.when(p["is_highlighted"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "")
+    return rows.select("doc_id", F.replace(shown, F.lit("]["), F.lit("")).alias("shown"))
+
+
+def stats_line(spark, sf_dir):
+    return search(_index(spark, sf_dir), _ask(spark)).select("query_id", "doc_id", highlight.stats_line().alias("line"))
+
+
+def match_ratio_levels(spark, sf_dir):
+    return search_batch(spark, sf_dir).groupBy("query_id", "match_ratio_level").agg(F.count("*").alias("n"))
+
+
+def range_counts(spark, sf_dir):
+    return search_batch(spark, sf_dir).groupBy("query_id", "range_count").agg(F.count("*").alias("n"))
+
+
+def inspect_results(spark, sf_dir):
+    return highlight.inspect(search(_index(spark, sf_dir), "smrng")).select("doc_id", "inspection")
+
+
+MIXED = ["bokunoh风じょう", "yoi", "yoi ", " yoi", "sekai", "kyou", "kyo", "カ", "nihao", "shijie", "ﾎﾞｸ", "", "shij"]
+
+
+def _mixed(spark, **options):
+    index = ix.build(_inline(spark, CORPUS, "doc_id long, text string"), dictionaries.sample(spark))
+    return search(index, _inline(spark, list(enumerate(MIXED)), "query_id long, query string"), **options)
+
+
+def search_mixed(spark, sf_dir):
+    return _results(_mixed(spark))
+
+
+def match_long_vowel(spark, sf_dir):
+    return _results(_mixed(spark, long_vowel_at_end=True, trim=True))
+
+
+def match_kana_prefix(spark, sf_dir):
+    index = ix.build(_inline(spark, CORPUS, "doc_id long, text string"), dictionaries.sample(spark))
+    rows = match.edges(index, _inline(spark, [(0, "カ"), (1, "ト"), (2, "セ"), (3, "か゛")], "query_id long, query string"))
+    return rows.where("type = 1").select("query_id", "text", "is_prefix")
+
+
+def match_pinyin_tail(spark, sf_dir):
+    index = ix.build(_inline(spark, CORPUS, "doc_id long, text string"), dictionaries.sample(spark))
+    rows = match.edges(index, _inline(spark, [(0, "sh"), (1, "shx"), (2, "fen")], "query_id long, query string"))
+    return rows.where("type = 4").select("query_id", "r", "text", "is_prefix")
+
+
+_KA = dictionaries.KANA.split()
+_KANA_ROWS = list(zip(_KA[::2], _KA[1::2]))
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct()
+_FUNCTIONS = [
+    norm_text, classes, code_points, pinyin_candidates, normal_forms, variant_components, tokenize_raw, token_dictionary, postings, token_prefixes, runs_islands, phrases,
+    kana_readings_lookup, tokenize_cjk, atomic_readings, inspect_tokens, distinct_titles, text_lines, index_roundtrip, index_json, segments, search_raw, search_batch, search_filter,
+    search_allowed, search_topk, search_custom_order, highlight_raw, stats_line, match_ratio_levels, range_counts, inspect_results, search_mixed, match_long_vowel, match_kana_prefix, match_pinyin_tail,
+]
 
 
 def queries() -> dict:
-    return {}
+    found = {f.__name__: f for f in _FUNCTIONS}
+    found |= {
+        "normalize_scalar": _scalar(SCALAR, "norm", T.normalize),
+        "to_katakana": _scalar([*SCALAR, *KANA], "katakana", T.to_katakana),
+        "compose_dakuten": _scalar(["か゛", "は゜", "ウ゛", "カ゛キ゛", "ア゛", "ゝ゛"], "composed", lambda s: T.compose_dakuten(T.normalize(s))),
+        "kana_to_romaji": _scalar(KANA, "romaji", phonetics.to_romaji_strictly),
+        "normalize_romaji": _scalar(ROMAJI, "norm", T.normalize_romaji),
+    }
+    return found
 
 
 def oracle_sql() -> dict:
-    return {}
+    one = lambda rows: _values([(x,) for x in rows], "s")
+    japanese = r"[\p{Han}\x{3041}-\x{309F}\x{30A0}-\x{30FF}\x{3005}\x{3006}\x{30FC}\x{3099}\x{309A}]"
+    composed = [(a + m, b) for m, pairs in T.COMPOSED.items() for a, b in pairs.items()]
+    docs = f"docs AS (SELECT doc_id::BIGINT AS doc_id, {_norm('text')} AS s, text FROM {_values(CORPUS, 'doc_id, text')})"
+    cells = f"{docs}, cells AS (SELECT doc_id, i - 1 AS pos, substr(s, i, 1) AS ch, regexp_full_match(substr(s, i, 1), '{japanese}') AS cjk FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM docs))"
+    runs = f"{cells}, isl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM cells WHERE cjk), runs AS (SELECT doc_id, min(pos)::INT AS start, string_agg(ch, '' ORDER BY pos) AS run FROM isl GROUP BY doc_id, g)"
+    mark = "[\\x{3099}\\x{309A}]"
+    phrase = f"""{runs}, ph AS (
+      SELECT doc_id, (start + i - 1)::INT AS start, n::INT AS len, substr(run, i, n) AS phrase, substr(run, i + n, 1) AS next
+      FROM (SELECT *, unnest(range(1, least(4, length(run) - i + 1) + 1)) AS n FROM (SELECT *, unnest(range(1, length(run) + 1)) AS i FROM runs))
+    ), phrases AS (SELECT doc_id, start, len, phrase FROM ph WHERE NOT regexp_full_match(substr(phrase, 1, 1), '{mark}') AND NOT regexp_full_match(next, '{mark}'))"""
+    key = f"translate({_rules_sql('phrase', composed, 1)}, '{T.VOICED}{T.SEMIVOICED}', '')"
+    kana = r"[\x{3041}-\x{309F}\x{30A0}-\x{30FF}]"
+    readings = f"""{phrase}, keyed AS (SELECT *, {key} AS key FROM phrases), readings AS (
+      SELECT doc_id, start, phrase, {_translate_sql('key', T.HIRAGANA, T.KATAKANA)} AS reading FROM keyed WHERE regexp_full_match(key, '{kana}+')
+      UNION SELECT doc_id, start, phrase, reading FROM keyed JOIN {_values(_KANA_ROWS, 'surface, reading')} ON surface = key WHERE NOT regexp_full_match(key, '{kana}'))"""
+    initial = "regexp_extract(reading, '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])', 1)"
+    return {
+        "norm_text": f"SELECT item_id, {_norm('text')} AS norm FROM benchmark",
+        "normalize_scalar": f"SELECT s, {_norm('s')} AS norm FROM {one(SCALAR)}",
+        "to_katakana": f"SELECT s, {_translate_sql('s', T.HIRAGANA, T.KATAKANA)} AS katakana FROM {one([*SCALAR, *KANA])}",
+        "compose_dakuten": f"SELECT s, {_rules_sql(_norm('s'), composed, 1)} AS composed FROM {one(['か゛', 'は゜', 'ウ゛', 'カ゛キ゛', 'ア゛', 'ゝ゛'])}",
+        "normalize_romaji": f"SELECT s, {_rules_sql('s', T.ROMAJI_RULES, 3)} AS norm FROM {one(ROMAJI)}",
+        "classes": f"SELECT s, regexp_full_match(s, '\\p{{Han}}+') AS han, regexp_full_match(s, '{kana}*') AS kana, regexp_full_match(s, '{japanese}+') AS japanese, regexp_full_match(s, '{mark}+') AS mark, translate(s, '{T.VOICED}{T.SEMIVOICED}', '') AS stripped FROM {one(SCALAR)}",
+        "code_points": f"SELECT doc_id::BIGINT AS doc_id, (i - 1)::INT AS pos, substr(text, i, 1) AS ch, unicode(substr(text, i, 1))::INT AS cp FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM {_values(CORPUS, 'doc_id, text')})",
+        "pinyin_candidates": f"SELECT DISTINCT ch, unnest(list_filter([reading, nullif({initial}, ''), coalesce(nullif({initial}[1], ''), reading[1]), CASE WHEN regexp_matches(reading, '[aei]ng$') THEN regexp_replace(reading, '([aei])ng$', '\\1n') END], lambda x: x IS NOT NULL)) AS candidate FROM {_values(_PINYIN_ROWS, 'ch, reading')}",
+        "variant_components": f"WITH RECURSIVE p AS (SELECT * FROM {_values(_VARIANT_ROWS, 'a, b')}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS ch, a AS variant FROM e UNION SELECT r.ch, e.b FROM r JOIN e ON e.a = r.variant) SELECT ch, variant FROM r",
+        "tokenize_raw": f"WITH {_RAW} SELECT doc_id, 0::INT AS type, text, st AS start, en AS \"end\" FROM o",
+        "token_dictionary": f"WITH {_RAW} SELECT token_id, 0::INT AS type, text, 1::INT AS cp_len, 'other' AS trie FROM k",
+        "postings": f"WITH {_RAW} SELECT token_id, doc_id, count(*)::INT AS n, string_agg(st || '-' || en, ' ' ORDER BY st) AS places FROM o JOIN k USING (text) GROUP BY token_id, doc_id",
+        "inspect_tokens": f"WITH {_RAW} SELECT o.doc_id, st AS pos, 'Raw: \"' || o.text || '\" <- \"' || substr(p.text, en, 1) || '\" [' || st || ', ' || en || ']' AS line FROM o JOIN part_docs p USING (doc_id)",
+        "distinct_titles": "SELECT (row_number() OVER (ORDER BY p_name) - 1)::BIGINT AS doc_id, p_name AS text FROM (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL)",
+        "text_lines": "SELECT p_name AS text FROM part WHERE length(p_name) > 0",
+        "runs_islands": f"WITH {runs} SELECT doc_id, start, run FROM runs",
+        "phrases": f"WITH {phrase} SELECT * FROM phrases",
+        "kana_readings_lookup": f"WITH {readings} SELECT doc_id, start, phrase, reading FROM readings",
+        "segments": f"SELECT query_id::BIGINT AS query_id, l::INT AS l, r::INT AS r, n::INT AS n, substr(q, l + 1, r - l + 1) AS seg, regexp_replace(substr(q, l + 1, r - l + 1), '\\s', '', 'g') AS bare FROM (SELECT *, unnest(range(l, n)) AS r FROM (SELECT query_id, query AS q, length(query) AS n, unnest(range(0, length(query))) AS l FROM {_values(QUERIES, 'query_id, query')})) WHERE substr(q, r + 1, 1) <> ' '",
+        "search_raw": _raw_search([(0, "smrng")]),
+        "index_roundtrip": _raw_search([(0, "smrng")]),
+        "search_batch": _raw_search(QUERIES),
+        "search_filter": _raw_search(QUERIES, where="doc_id % 2 = 0"),
+        "search_allowed": _raw_search(QUERIES, where="doc_id IN (SELECT p_partkey FROM part WHERE p_size > 20)"),
+        "search_topk": _raw_search(QUERIES, k=5),
+        "search_custom_order": _raw_search(QUERIES, order="doc_id DESC"),
+        "match_ratio_levels": _raw_search(QUERIES, project="query_id, match_ratio_level, count(*) AS n", extra="GROUP BY ALL"),
+        "range_counts": _raw_search(QUERIES, project="query_id, range_count, count(*) AS n", extra="GROUP BY ALL"),
+        "stats_line": _raw_search(QUERIES, project="query_id, doc_id, range_count || ' range(s), ' || floor(match_ratio * 100 + 0.5)::BIGINT || '%' AS line"),
+    }
