@@ -8,8 +8,8 @@ bounded size, where the operator's own method (suffix trees, prefix-free parsing
 * Texts with one unit sequence form a class first. If it has two members, all their windows are repeats; the smallest
   id stands for it against the rest.
 * An anchor that more than ``HOT`` slices share isn't gathered: its slices are keyed by longer prefixes. First equal
-  slices are counted with a partial aggregation, which settles all but one of each kind; then the windows of those that
-  are left are counted by their own hash.
+  slices are counted with a partial aggregation, which settles all but one of each kind; those that are left are cut by how
+  much stands before the anchor (``_cores``), and the windows of parts that share their core are counted by their own hash.
 * Groups are read in hash order and solved in parts of ``PART`` bytes; a group is never cut.
 """
 
@@ -140,6 +140,39 @@ def _slices(units, window: int):
     return run
 
 
+def _cores(units, window: int, gram: int):
+    """Cuts a slice's windows by how far before the anchor they begin, 0, 1, 2 to 3, 4 to 7 and so on; a part's key is the hash
+    of the units that all its windows share, a longer prefix than the anchor."""
+
+    def run(batches):
+        for part in pieces(batches, 1 << 20, "body"):
+            data, offsets = bytes_of(part.column("body"))
+            own, grams, starts, ends, border = units(data, offsets)
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * powers(len(own), _BASE)[: len(own)], out=sums[1:])
+            lo, cnt, raw, rows = part.column("lo").to_pylist(), part.column("cnt").to_pylist(), data.tobytes(), []
+            for i, at in enumerate(border[:-1].tolist()):
+                p = int(np.argmin(grams[at : at + window - gram + 1]))
+                a, b = 0, 1
+                while a <= p:
+                    first, last = max(0, p - b + 1), min(cnt[i] - 1, p - a)  # windows whose anchor stands a to b - 1 units in
+                    if first <= last:
+                        x, y = at + p - a, at + p - b + 1 + window
+                        rows.append((x, y, b, i, lo[i] + first, last - first + 1, raw[starts[at + first] : ends[at + last + window - 1]]))
+                    a, b = b, 2 * b
+            if not rows:
+                continue
+            x, y, b, i = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
+            key = mix(mix((sums[y] - sums[x]) * powers(len(own), _INVERSE)[x]) + b.astype(np.uint64))
+            take = pa.array(i)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), part.column("id").take(take), pa.array([r[4] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.int32()), pa.array([r[6] for r in rows], pa.binary()), part.column("many").take(take)],
+                ["core", "id", "lo", "cnt", "body", "many"],
+            )
+
+    return run
+
+
 def _windows(units, window: int):
     """(w, id, lo, many) for each window of a slice, w its hash."""
 
@@ -231,11 +264,14 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     hot = scratch.save(slices.where("hot").join(kinds, ["h", "sh", "cnt"]), "hot")
     alike = hot.where("c > 1").select("id", "lo", (F.col("lo") + F.col("cnt") + (window - 1)).alias("hi"))
     single = hot.where("first = struct(id, lo)").select("id", "lo", "cnt", "body", (F.col("c") > 1).alias("many"))
+    single = scratch.save(single.mapInArrow(_cores(units, window, gram), "core long, id long, lo int, cnt int, body binary, many boolean"), "cores")
+    shared = single.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    single = single.join(scratch.save(shared, "shared"), "core").drop("core")
     single = scratch.save(single.mapInArrow(_windows(units, window), "w long, id long, lo int, many boolean"), "windows")
     again = single.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     hot = alike.unionByName(single.where("not many").join(again, "w").select("id", "lo", (F.col("lo") + window).alias("hi")))
     spans = scratch.save(cold.unionByName(hot), "spans")
-    scratch.drop("scan", "classes", "rows", "counts", "slices", "kinds", "hot", "windows")
+    scratch.drop("scan", "classes", "rows", "counts", "slices", "kinds", "hot", "cores", "shared", "windows")
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("whole", F.lit(False))
     marks = marks.join(copied, "id", "left_anti")
     marks = marks.unionByName(copied.select("id", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(True).alias("whole")))
