@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,16 @@ def pieces(batches, limit: int = 2 << 20, column: str = "text"):
             end = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back at a task's end: Python workers are kept for later stages, beside a grown JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 _RNG = np.random.default_rng(20240229)
@@ -106,7 +117,9 @@ def powers(n: int, base: int) -> np.ndarray:
         size = max(1 << 16, n + 1)
         have = np.full(size, np.uint64(base))
         have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if size <= 1 << 22:
+            _POWERS[base] = have
     return have
 
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-END, KEPT = 0, 600_000
+END, KEPT = 0, 150_000
 #: The pre-tokenizer's pattern and its map from bytes to characters (public, from byte-level BPE).
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]

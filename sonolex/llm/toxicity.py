@@ -45,7 +45,7 @@ IDENTITIES = [
 SWAP = {w: line[(i + 1) % len(line)] for line in map(str.split, IDENTITIES) for i, w in enumerate(line)}
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _features(word: str) -> tuple[int, ...]:
     mask = (1 << BITS) - 1
     return tuple({zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in (word, *(f"{n}:{word[:n]}" for n in (4, 5, 6) if len(word) > n))})
@@ -145,7 +145,7 @@ def _scores(shared, keep_text: bool):
                     own = memory.get(w)
                     if own is None:
                         own = tuple(f for f in _features.__wrapped__(w.strip(_EDGE)) if f in weight)
-                        if len(memory) < 500_000:
+                        if len(memory) < 200_000:
                             memory[w] = own
                     if own:
                         found.update(own)
