@@ -8,8 +8,10 @@ bounded size, where the operator's own method (suffix trees, prefix-free parsing
 * Texts with one unit sequence form a class first. If it has two members, all their windows are repeats; the smallest
   id stands for it against the rest.
 * An anchor that more than ``HOT`` slices share isn't gathered: its slices are keyed by longer prefixes. First equal
-  slices are counted with a partial aggregation, which settles all but one of each kind; those that are left are cut by how
-  much stands before the anchor (``_cores``), and the windows of parts that share their core are counted by their own hash.
+  slices that are cut together settle each other, and one of each kind goes on with their number, so a passage in very many
+  texts is shuffled once for a batch and not once for a text. What goes on is counted by kind, which settles all but one of
+  each; those that are left are cut by how much stands before the anchor (``_cores``), and the windows of parts that share
+  their core are counted by their own hash.
 * Groups are read in hash order and solved in parts of ``PART`` bytes; a group is never cut.
 """
 
@@ -107,7 +109,10 @@ SCAN = "id long, n long, f1 long, f2 long, h array<long>, lo array<int>, cnt arr
 
 
 def _slices(units, window: int):
-    """Text slices of the shared anchors, with a hash of the slice."""
+    """Text slices of the shared anchors, with a hash of the slice.
+
+    copies: 1, but for equal hot slices of a batch of texts: how many they are in the first, 0 and no body in the others.
+    """
 
     def run(batches):
         for part in pieces(batches, 1 << 20):
@@ -120,10 +125,15 @@ def _slices(units, window: int):
             text = np.repeat(np.arange(part.num_rows), np.diff(edge))
             unit = border[:-1][text] + lo
             raw = data.tobytes()
-            body = [raw[a:b] for a, b in zip(starts[unit].tolist(), ends[unit + cnt + window - 2].tolist())]
             sums = np.zeros(len(own) + 1, np.uint64)
             np.cumsum(own * powers(len(own), _BASE)[: len(own)], out=sums[1:])
             slice_hash = mix((sums[unit + cnt + window - 1] - sums[unit]) * powers(len(own), _INVERSE)[unit] + cnt.astype(np.uint64))
+            copies, warm = np.ones(len(h), np.int32), np.flatnonzero(hot)
+            _, first, many = np.unique(slice_hash[warm] ^ mix(h[warm].view(np.uint64)), return_index=True, return_counts=True)
+            copies[warm] = 0
+            copies[warm[first]] = many
+            upto = np.where(copies > 0, ends[unit + cnt + window - 2], starts[unit])
+            body = [raw[a:b] for a, b in zip(starts[unit].tolist(), upto.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h, pa.int64()),
@@ -133,8 +143,9 @@ def _slices(units, window: int):
                     pa.array(body, pa.binary()),
                     pa.array(slice_hash.view(np.int64)),
                     pa.array(hot, pa.bool_()),
+                    pa.array(copies, pa.int32()),
                 ],
-                ["h", "id", "lo", "cnt", "body", "sh", "hot"],
+                ["h", "id", "lo", "cnt", "body", "sh", "hot", "copies"],
             )
 
     return run
@@ -257,12 +268,14 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     counts = scratch.save(counts, "counts")  # so that Spark can split the rows of a hot anchor
     shared = rows.join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "lo", "cnt", "hot")).alias("at"))
     cut = docs.join(shared, "id").select("id", "text", F.expr("array_sort(at, (x, y) -> x.lo - y.lo)").alias("at"))
-    slices = scratch.save(cut.mapInArrow(_slices(units, window), "h long, id long, lo int, cnt int, body binary, sh long, hot boolean"), "slices")
-    cold = spread(slices.where("not hot").drop("sh", "hot"), "h").sortWithinPartitions("h").mapInArrow(_solve(solver, window), "id long, lo int, hi int")
-    kinds = slices.where("hot").groupBy("h", "sh", "cnt").agg(F.count("*").alias("c"), F.min(F.struct("id", "lo")).alias("first"))
+    slices = scratch.save(cut.mapInArrow(_slices(units, window), "h long, id long, lo int, cnt int, body binary, sh long, hot boolean, copies int"), "slices")
+    cold = spread(slices.where("not hot").drop("sh", "hot", "copies"), "h").sortWithinPartitions("h").mapInArrow(_solve(solver, window), "id long, lo int, hi int")
+    going = slices.where("hot and copies > 0")
+    kinds = going.groupBy("h", "sh", "cnt").agg(F.sum("copies").alias("c"), F.min(F.struct("id", "lo")).alias("first"))
     kinds = scratch.save(kinds, "kinds")
-    hot = scratch.save(slices.where("hot").join(kinds, ["h", "sh", "cnt"]), "hot")
-    alike = hot.where("c > 1").select("id", "lo", (F.col("lo") + F.col("cnt") + (window - 1)).alias("hi"))
+    hot = scratch.save(going.join(kinds, ["h", "sh", "cnt"]), "hot")
+    alike = slices.where("hot and copies = 0").select("id", "lo", "cnt").unionByName(hot.where("c > 1").select("id", "lo", "cnt"))
+    alike = alike.select("id", "lo", (F.col("lo") + F.col("cnt") + (window - 1)).alias("hi"))
     single = hot.where("first = struct(id, lo)").select("id", "lo", "cnt", "body", (F.col("c") > 1).alias("many"))
     single = scratch.save(single.mapInArrow(_cores(units, window, gram), "core long, id long, lo int, cnt int, body binary, many boolean"), "cores")
     shared = single.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
