@@ -11,7 +11,7 @@ bounded size, where the operator's own method (suffix trees, prefix-free parsing
   slices that are cut together settle each other, and one of each kind goes on with their number, so a passage in very many
   texts is shuffled once for a batch and not once for a text. What goes on is counted by kind, which settles all but one of
   each; those that are left are cut by how much stands before the anchor (``_cores``), and the windows of parts that share
-  their core are counted by their own hash.
+  their core are counted by their own hash, again first among those that meet in a batch.
 * Groups are read in hash order and solved in parts of ``PART`` bytes; a group is never cut.
 """
 
@@ -185,7 +185,9 @@ def _cores(units, window: int, gram: int):
 
 
 def _windows(units, window: int):
-    """(w, id, lo, many) for each window of a slice, w its hash."""
+    """(w, id, lo, hi, copies): windows that are alone in a batch of slices, with w, their hash, and copies 1; each kind that isn't,
+    once, with copies 2; and the spans that the windows of such kinds cover, with copies 0. The windows of a slice that is
+    repeated as a whole (many) are settled: they count as 2 and cover nothing."""
 
     def run(batches):
         for part in pieces(batches, 1 << 20, "body"):
@@ -197,9 +199,26 @@ def _windows(units, window: int):
             key = np.zeros(len(s), np.uint64)
             for i in range(window):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[s + i])
-            rest = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), cnt) for c in ("id", "lo", "many")]
+            ids, lo, settled = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), cnt) for c in ("id", "lo", "many"))
+            lo, settled = lo.astype(np.int64) + step, settled.astype(bool)
+            kind, first, which, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            weight = np.minimum(many + np.bincount(which, settled, len(kind)).astype(np.int64), 2)
+            hit = np.flatnonzero((many[which] > 1) & ~settled)
+            new = np.ones(len(hit), bool)
+            new[1:] = (hit[1:] != hit[:-1] + 1) | (step[hit[1:]] == 0)
+            begin = np.flatnonzero(new)
+            a, b = hit[begin], hit[np.append(begin[1:], len(hit)) - 1] if len(hit) else hit
+            zero = np.zeros(len(a), np.int64)
+            at = np.concatenate([first, a])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(rest[0]), pa.array(rest[1] + step, pa.int32()), pa.array(rest[2].astype(bool))], ["w", "id", "lo", "many"]
+                [
+                    pa.array(np.concatenate([kind.view(np.int64), zero])),
+                    pa.array(ids[at], pa.int64()),
+                    pa.array(lo[at], pa.int32()),
+                    pa.array(np.concatenate([lo[first], lo[b]]) + window, pa.int32()),
+                    pa.array(np.concatenate([weight, zero]), pa.int32()),
+                ],
+                ["w", "id", "lo", "hi", "copies"],
             )
 
     return run
@@ -279,10 +298,12 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     single = hot.where("first = struct(id, lo)").select("id", "lo", "cnt", "body", (F.col("c") > 1).alias("many"))
     single = scratch.save(single.mapInArrow(_cores(units, window, gram), "core long, id long, lo int, cnt int, body binary, many boolean"), "cores")
     shared = single.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    single = single.join(scratch.save(shared, "shared"), "core").drop("core")
-    single = scratch.save(single.mapInArrow(_windows(units, window), "w long, id long, lo int, many boolean"), "windows")
-    again = single.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    hot = alike.unionByName(single.where("not many").join(again, "w").select("id", "lo", (F.col("lo") + window).alias("hi")))
+    # equal windows share a core: a join by shuffle brings them together, so most settle in one batch
+    single = single.join(scratch.save(shared, "shared").hint("merge"), "core").drop("core")
+    single = scratch.save(single.mapInArrow(_windows(units, window), "w long, id long, lo int, hi int, copies int"), "windows")
+    again = single.where("copies > 0").groupBy("w").agg(F.sum("copies").alias("c")).where("c > 1").select("w")
+    found = single.where("copies = 1").join(again, "w").select("id", "lo", "hi")
+    hot = alike.unionByName(found).unionByName(single.where("copies = 0").select("id", "lo", "hi"))
     spans = scratch.save(cold.unionByName(hot), "spans")
     scratch.drop("scan", "classes", "rows", "counts", "slices", "kinds", "hot", "cores", "shared", "windows")
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("whole", F.lit(False))
