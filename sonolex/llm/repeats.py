@@ -10,8 +10,8 @@ bounded size, where the operator's own method (suffix trees, prefix-free parsing
 * An anchor that more than ``HOT`` slices share isn't gathered: its slices are keyed by longer prefixes. First equal
   slices that are cut together settle each other, and one of each kind goes on with their number, so a passage in very many
   texts is shuffled once for a batch and not once for a text. What goes on is counted by kind, which settles all but one of
-  each; those that are left are cut by how much stands before the anchor (``_cores``), and the windows of parts that share
-  their core are counted by their own hash, again first among those that meet in a batch.
+  each; those that are left are cut by how much stands before the anchor, twice and finer the second time (``_cores``), and the
+  windows of parts that share their core are counted by their own hash, again first among those that meet in a batch.
 * Groups are read in hash order and solved in parts of ``PART`` bytes; a group is never cut.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import _BASE, _INVERSE, Scratch, bytes_of, lists, mix, pieces, powers, prepare, spread
 
-HOT, PART = 2000, 2 << 20
+HOT, PART, FINE = 2000, 2 << 20, 8
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -151,9 +151,9 @@ def _slices(units, window: int):
     return run
 
 
-def _cores(units, window: int, gram: int):
-    """Cuts a slice's windows by how far before the anchor they begin, 0, 1, 2 to 3, 4 to 7 and so on; a part's key is the hash
-    of the units that all its windows share, a longer prefix than the anchor."""
+def _cores(units, window: int, gram: int, width: int = 0):
+    """Cuts a slice's windows by how far before the anchor they begin, 0, 1, 2 to 3, 4 to 7 and so on, or by every ``width`` units;
+    a part's key is the hash of the units that all its windows share, a longer prefix than the anchor."""
 
     def run(batches):
         for part in pieces(batches, 1 << 20, "body"):
@@ -164,13 +164,13 @@ def _cores(units, window: int, gram: int):
             lo, cnt, raw, rows = part.column("lo").to_pylist(), part.column("cnt").to_pylist(), data.tobytes(), []
             for i, at in enumerate(border[:-1].tolist()):
                 p = int(np.argmin(grams[at : at + window - gram + 1]))
-                a, b = 0, 1
+                a, b = 0, width or 1
                 while a <= p:
                     first, last = max(0, p - b + 1), min(cnt[i] - 1, p - a)  # windows whose anchor stands a to b - 1 units in
                     if first <= last:
                         x, y = at + p - a, at + p - b + 1 + window
                         rows.append((x, y, b, i, lo[i] + first, last - first + 1, raw[starts[at + first] : ends[at + last + window - 1]]))
-                    a, b = b, 2 * b
+                    a, b = b, b + width if width else 2 * b
             if not rows:
                 continue
             x, y, b, i = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
@@ -296,16 +296,18 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     alike = slices.where("hot and copies = 0").select("id", "lo", "cnt").unionByName(hot.where("c > 1").select("id", "lo", "cnt"))
     alike = alike.select("id", "lo", (F.col("lo") + F.col("cnt") + (window - 1)).alias("hi"))
     single = hot.where("first = struct(id, lo)").select("id", "lo", "cnt", "body", (F.col("c") > 1).alias("many"))
-    single = scratch.save(single.mapInArrow(_cores(units, window, gram), "core long, id long, lo int, cnt int, body binary, many boolean"), "cores")
-    shared = single.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    # equal windows share a core: a join by shuffle brings them together, so most settle in one batch
-    single = single.join(scratch.save(shared, "shared").hint("merge"), "core").drop("core")
+    for width in (0, FINE):
+        cut = single.mapInArrow(_cores(units, window, gram, width), "core long, id long, lo int, cnt int, body binary, many boolean")
+        single = scratch.save(cut, f"cores{width}")
+        shared = single.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+        # equal windows share a core: a join by shuffle brings them together, so most settle in one batch
+        single = single.join(scratch.save(shared, f"shared{width}").hint("merge"), "core").drop("core")
     single = scratch.save(single.mapInArrow(_windows(units, window), "w long, id long, lo int, hi int, copies int"), "windows")
     again = single.where("copies > 0").groupBy("w").agg(F.sum("copies").alias("c")).where("c > 1").select("w")
     found = single.where("copies = 1").join(again, "w").select("id", "lo", "hi")
     hot = alike.unionByName(found).unionByName(single.where("copies = 0").select("id", "lo", "hi"))
     spans = scratch.save(cold.unionByName(hot), "spans")
-    scratch.drop("scan", "classes", "rows", "counts", "slices", "kinds", "hot", "cores", "shared", "windows")
+    scratch.drop("scan", "classes", "rows", "counts", "slices", "kinds", "hot", "cores0", f"cores{FINE}", "shared0", f"shared{FINE}", "windows")
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("whole", F.lit(False))
     marks = marks.join(copied, "id", "left_anti")
     marks = marks.unionByName(copied.select("id", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(True).alias("whole")))
