@@ -18,7 +18,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, pieces, prepare
+from .common import ARROW_BATCH_BYTES, Scratch, pieces, prepare
 from .tokens import END, default_tokenizer, encoder
 
 CAPACITY, GROUP = 2048, 50_000
@@ -93,12 +93,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def _cut(path: str, capacity: int):
     def run(batches):
         encode = encoder(path)
-        end = END.to_bytes(4, "little")
-        for part in pieces(batches):
+        for part in pieces(batches, ARROW_BATCH_BYTES):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                ids = encode(text) + end
-                n = len(ids) // 4
+            all_ids, borders = encode.column(part.column("text"), END)
+            raw, borders = memoryview(all_ids.astype("<u4").tobytes()), borders.tolist()
+            for doc, low, high in zip(part.column("id").to_pylist(), borders, borders[1:]):
+                ids, n = raw[4 * low : 4 * high], high - low
                 at = [0, *range((n - 1) % capacity + 1, n, capacity), n]
                 for k, (a, b) in enumerate(zip(at, at[1:])):
                     for column, value in zip(out, (doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))):

@@ -2,8 +2,9 @@
 
 Byte-level BPE never merges across the borders of its pre-tokenizer. Where all white space of a text is single spaces and
 line breaks between visible characters, a space belongs to the word that follows and a line break stands alone; so each word
-(with its space) has ids of its own. They come from the library's model and are kept for the next time. All other texts,
-those that may hold a special token's string, and vocabularies of another kind are encoded whole.
+(with its space) has ids of its own. A column's words are cut in place, as an Arrow array over the texts' own bytes, and looked up
+once for each different word; ids of words come from the library's model and are kept for the next time. All other texts, those
+that may hold a special token's string, and vocabularies of another kind are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,18 +13,27 @@ import json
 import os
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-END, KEPT = 0, 150_000
+from .common import bytes_of
+
+END, KEPT = 0, 250_000
+_ID = attrgetter("id")
 #: The pre-tokenizer's pattern and its map from bytes to characters (public, from byte-level BPE).
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
-#: Texts with any of these are encoded whole: white space in a row, or other than spaces and line breaks.
-_ODD = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+#: White space other than spaces and line breaks; texts with any of it are encoded whole.
+_ODD = [c.encode() for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ODD_BYTE, _ODD_LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_ODD_BYTE[[c[0] for c in _ODD if len(c) == 1]] = True
+_ODD_LEAD[[c[0] for c in _ODD if len(c) > 1]] = True
+_ODD_LONG = [c for c in _ODD if len(c) > 1]
 
 
 def default_tokenizer() -> str:
@@ -37,23 +47,43 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class _Memory(dict):
-    def __init__(self, model, lead: str):
-        self.model, self.lead = model, lead
+    """Ids of units: words with their space, or line breaks."""
+
+    def __init__(self, model):
+        self.model = model
+        self.marks = {c: self.model_ids(c) for c in ",.;:!?"}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, unit: str) -> bytes:
+        word = unit[1:] if unit[0] == " " else unit
         if word.isalpha():
-            out = self.model_ids(self.lead + word)
-        elif word[-1] in ",.;:!?" and word[:-1].isalpha():
-            out = self[word[:-1]] + self.model_ids(word[-1])
+            out = self.model_ids(unit)
+        elif (mark := self.marks.get(word[-1])) and word[:-1].isalpha():
+            stem = unit[:-1]
+            out = (self.get(stem) or self.model_ids(stem)) + mark
         else:
-            out = b"".join(map(self.model_ids, _WORD.findall(self.lead + word)))
+            out = b"".join(map(self.model_ids, _WORD.findall(unit)))
         if len(self) < KEPT:
-            self[word] = out
+            self[unit] = out
         return out
 
     def model_ids(self, token: str) -> bytes:
-        shown = "\u0120" + token[1:] if token[0] == " " and token[1:].isalpha() and token.isascii() else token.encode().decode("latin-1").translate(_CHARS)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if token.isascii() and token[1:].isalpha():
+            shown = "\u0120" + token[1:] if token[0] == " " else token
+        else:
+            shown = token.encode().decode("latin-1").translate(_CHARS)
+        return array("I", map(_ID, self.model.tokenize(shown))).tobytes()
+
+
+def _odd_places(data: np.ndarray) -> np.ndarray:
+    """Places of white space that is neither a space nor a line break."""
+    found = [np.flatnonzero(_ODD_BYTE[data])]
+    lead = np.flatnonzero(_ODD_LEAD[data])
+    for c in _ODD_LONG if len(lead) else ():
+        at = lead[lead + len(c) <= len(data)]
+        for i, byte in enumerate(c):
+            at = at[data[at + i] == byte]
+        found.append(at)
+    return np.concatenate(found)
 
 
 class Encoder:
@@ -65,22 +95,65 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         pre = kind["pre_tokenizer"] or {}
         self.plain = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.special = [t["content"] for t in kind["added_tokens"]]
-        self.first, self.spaced = (_Memory(self.tokenizer.model, lead) for lead in ("", " "))
-        self.line = _bytes(self.whole("\n"))
+        self.special = [t["content"].encode() for t in kind["added_tokens"]]
+        self.memory = _Memory(self.tokenizer.model)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _plain_texts(self, data: np.ndarray, space: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which texts may be cut into words."""
+        n, full = len(at) - 1, at[1:] > at[:-1]
+        out = np.full(n, bool(self.plain))
+        out[full] &= ~(space[at[:-1][full]] | space[at[1:][full] - 1])
+        bad = [np.flatnonzero(space[1:] & space[:-1]), _odd_places(data)]
+        raw = data.tobytes()
+        for s in self.special:
+            i = raw.find(s) if s else -1
+            while i >= 0:
+                bad.append(np.array([i]))
+                i = raw.find(s, i + 1)
+        out[np.searchsorted(at, np.concatenate(bad), "right") - 1] = False
+        return out
+
+    def column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts of a string column, each followed by ``end`` if given, and the n + 1 borders of the texts in
+        them; a null is empty."""
+        data, at = bytes_of(texts)
+        at = np.asarray(at, np.int64)
+        space = (data == 32) | (data == 10)
+        plain = self._plain_texts(data, space, at)
+        cut = np.flatnonzero(space)
+        if not plain.all():
+            cut = cut[plain[np.searchsorted(at, cut, "right") - 1]]
+        after = cut[data[cut] == 10] + 1  # a line's first word has no space
+        cuts = np.concatenate([cut, after, at])
+        first = np.zeros(len(data) + 1, bool)
+        first[cuts] = True
+        cuts = np.flatnonzero(first)  # every unit's start, and the end of the data
+        units = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        codes = units.indices.to_numpy()
+        odd = np.zeros(len(units.dictionary), bool)
+        odd[codes[np.searchsorted(cuts, at[:-1][~plain & (at[1:] > at[:-1])])]] = True
+        words = units.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        if odd.any():
+            ids = [_bytes(self.whole(w)) if o else self.memory[w] for w, o in zip(words, odd.tolist())]
+        else:
+            ids = [*map(self.memory.__getitem__, words)]
+        upto = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=upto[1:])
+        lists = pa.LargeListArray.from_arrays(pa.array(upto), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        flat = lists.take(units.indices)
+        borders = flat.offsets.to_numpy()[np.searchsorted(cuts, at)]
+        out = flat.values.to_numpy()[flat.offsets[0].as_py() : flat.offsets[-1].as_py()]
+        borders = borders - borders[0]
+        if end is None:
+            return out, borders
+        return np.insert(out, borders[1:], np.uint32(end)), borders + np.arange(len(borders))
+
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a text, without the end id; a null is empty."""
-        if not text:
-            return b""
-        if not self.plain or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in _ODD) or any(s in text for s in self.special):
-            return _bytes(self.whole(text))
-        first, spaced = self.first, self.spaced.__getitem__
-        lines = [x.split(" ") for x in text.split("\n")]
-        return self.line.join([first[x[0]] + b"".join(map(spaced, x[1:])) for x in lines])
+        return self.column(pa.array([text], pa.large_string()))[0].astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

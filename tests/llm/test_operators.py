@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sonolex.llm import bmw, decontaminate, html, langid, minhash, packing, pfp, repair, repeats, suffixtree, tokens, toxicity
@@ -110,6 +111,26 @@ def test_tokens_equal_the_library():
         assert e(t) == np.array(ids[:-1], "<u4").tobytes()
 
 
+def test_token_columns_equal_the_library():
+    """Texts of awkward characters, together in one column (sliced, null, empty), with and without an end id."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    parts = [" ", " ", " ", "\n", "\n ", "\t", "\r\n", "\u00a0", "\u2009", "\u2019", "\u3000", "\x1f", "\u200b", "<|endoftext|>", "<|end", "a", "Don't", "it's", "l'été", "x1y22", "word", "Word,", "(a)",
+             "..", "漢字", "é", "e\u0301", "\u0130", "😀", "123", "٣", "ǅ", "word.", "'s", "\u0120"]
+    made = random.Random(5)
+    texts = [None, "", " ", "\n", "a"] + [(" " if i % 2 else "").join(made.choice(parts) for _ in range(made.randint(0, 12))) for i in range(3000)] + ["", None]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    e = tokens.Encoder(tokens.default_tokenizer())
+    for kind in (pa.string(), pa.large_string()):
+        ids, at = e.column(pa.array(["cut off", *texts], kind)[1:])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+        ids, at = e.column(pa.array(texts, kind), 0)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*w, 0] for w in want]
+    for some in ([], [None], ["", None]):
+        assert e.column(pa.array(some, pa.string()), 7)[0].tolist() == [7] * len(some)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     path = f"file://{tmp_path}/ids"
     repair.write_ids(docs, path, shard=500)
