@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, pieces, prepare
+from .common import ARROW_BATCH_BYTES, Scratch, pieces, prepare
 from .tokens import END, default_tokenizer, encoder
 
-SHARD, ROUNDS, TOP, LEAST = 1 << 20, 4, 4096, 32
+SHARD, ROUNDS, TOP, LEAST, SLOTS = 1 << 20, 4, 4096, 32, 1 << 20
 NO_ID = -(1 << 63)
 
 
@@ -43,25 +43,36 @@ def compress(ids: np.ndarray, borders: np.ndarray, rounds: int = ROUNDS, top: in
         if len(seq) < 2:
             break
         pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        slot[last[:-1]] = 1 << 20
-        seen = np.bincount(slot, minlength=(1 << 20) + 1)
-        seen[1 << 20] = 0
+        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+        slot[last[:-1]] = SLOTS
+        seen = np.bincount(slot, minlength=SLOTS + 1)
+        seen[SLOTS] = 0
         at = np.flatnonzero((seen >= least)[slot])  # all pairs that may be frequent
-        found, which, count = np.unique(pair[at], return_inverse=True, return_counts=True)
-        good = np.flatnonzero(count >= least)
-        if not len(good):
+        pair, slot = pair[at], slot[at]
+        owner = np.zeros(SLOTS, np.uint64)
+        owner[slot] = pair
+        own = owner[slot] == pair  # a slot counts the pair that owns it; the few others are sorted
+        counts = np.bincount(slot[own], minlength=SLOTS)
+        slots = np.flatnonzero(counts >= least)
+        others, which, more = np.unique(pair[~own], return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(more >= least)
+        found, count = np.concatenate([owner[slots], others[rest]]), np.concatenate([counts[slots], more[rest]])
+        if not len(found):
             break
-        good = good[np.argsort(-count[good], kind="stable")[:top]]
+        best = np.lexsort((found, -count))[:top]
         name = np.full(len(found), -1, np.int64)
-        name[good] = np.arange(len(good))
-        hit = name[which]
+        name[best] = np.arange(len(best))
+        found = found[best]
+        by_slot, by_other = np.full(SLOTS, -1, np.int64), np.full(len(others), -1, np.int64)
+        by_slot[slots], by_other[rest] = name[: len(slots)], name[len(slots) :]
+        hit = np.empty(len(at), np.int64)
+        hit[own], hit[~own] = by_slot[slot[own]], by_other[which]
         at, hit = at[hit >= 0], hit[hit >= 0]
         run = np.ones(len(at), bool)
         run[1:] = at[1:] != at[:-1] + 1
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         at, hit = at[since % 2 == 0], hit[since % 2 == 0]
-        new = np.stack([(found[good] >> np.uint64(32)).astype(np.uint32), (found[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1)
+        new = np.stack([(found >> np.uint64(32)).astype(np.uint32), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1)
         known = np.concatenate(sizes)
         long = np.where(new >= first, known[np.minimum(np.maximum(new.astype(np.int64) - first, 0), max(len(known) - 1, 0))] if len(known) else 1, 1)
         rules.append(new)
@@ -71,7 +82,7 @@ def compress(ids: np.ndarray, borders: np.ndarray, rounds: int = ROUNDS, top: in
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last, starts = seq[keep], last[keep], starts[keep]
-        nxt += len(good)
+        nxt += len(found)
     edge = np.zeros(len(borders), np.int64)
     full = np.diff(borders) > 0  # an empty document has no symbols
     edge[:-1][full] = np.flatnonzero(starts)
@@ -80,9 +91,8 @@ def compress(ids: np.ndarray, borders: np.ndarray, rounds: int = ROUNDS, top: in
     return seq, edge, np.concatenate(rules), np.concatenate(sizes), first
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = symbols
+def _unfold(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for, one level of rules after the other."""
     while True:
         big = seq >= first
         if not len(rules) or not big.any():
@@ -96,6 +106,16 @@ def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, first: int
         seq = out
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for. Many symbols are taken from a table of all rules' ids."""
+    if len(symbols) < 4 * len(rules) + first or not len(rules):
+        return _unfold(symbols, rules, first)
+    ids = np.concatenate([np.arange(first, dtype=np.uint32), _unfold(np.arange(first, first + len(rules), dtype=np.uint32), rules, first)])
+    upto = np.concatenate([np.arange(first, dtype=np.int64), first + np.cumsum(np.concatenate([[0], sizes.astype(np.int64)]))])
+    table = pa.LargeListArray.from_arrays(pa.array(upto), pa.array(ids))
+    return table.take(pa.array(symbols.astype(np.int64))).flatten().to_numpy()
+
+
 def pack_shard(docs: np.ndarray, ids: np.ndarray, borders: np.ndarray) -> bytes:
     seq, edge, rules, sizes, first = compress(ids, borders)
     head = np.array([first, len(rules), len(seq), len(docs), 0], "<u4")
@@ -150,22 +170,22 @@ SHARDS = "part int, seq int, n_docs long, n_tokens long, first_doc long, last_do
 def _write(path: str, shard: int):
     def run(batches):
         encode, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        end, docs, held, total = END.to_bytes(4, "little"), [], [], 0
+        docs, held, total = [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            borders = np.concatenate([[0], np.cumsum([len(h) // 4 for h in held])])
-            body = pack_shard(np.array(docs, np.int64), ids, borders)
-            row = [[part], [seq], [len(docs)], [len(ids)], [docs[0]], [docs[-1]], [body]]
+            borders = np.concatenate([[0], np.cumsum([len(h) for h in held])])
+            body = pack_shard(np.array(docs, np.int64), np.concatenate(held), borders)
+            row = [[part], [seq], [len(docs)], [int(borders[-1])], [docs[0]], [docs[-1]], [body]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "n_docs", "n_tokens", "first_doc", "last_doc", "body"])
 
-        for piece in pieces(batches):
-            for doc, text in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist()):
-                ids = encode(text) + end
+        for piece in pieces(batches, ARROW_BATCH_BYTES):
+            ids, borders = encode.column(piece.column("text"), END)
+            borders = borders.tolist()
+            for doc, low, high in zip(piece.column("id").to_pylist(), borders, borders[1:]):
                 docs.append(doc)
-                held.append(ids)
-                total += len(ids) // 4
+                held.append(ids[low:high])
+                total += high - low
                 if total >= shard:
                     yield flush()
                     seq, docs, held, total = seq + 1, [], [], 0

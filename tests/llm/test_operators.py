@@ -154,6 +154,22 @@ def test_repair_random_access():
     assert shard.all()[0].tolist() == np.concatenate(docs_).tolist()
 
 
+@pytest.mark.parametrize("slots", [2, 1 << 20])
+def test_repair_counts_pairs_in_shared_slots(slots, monkeypatch):
+    """Pairs that share a counting slot are counted too, whoever owns it; the most frequent pair becomes a rule first."""
+    monkeypatch.setattr(repair, "SLOTS", slots)
+    ids = np.array([rng.choice([1, 2, 2, 3, 5, 8, 13]) for _ in range(4000)], np.uint32)
+    borders = np.array([0, 1000, 1000, 4000])
+    seq, edge, rules, sizes, first = repair.compress(ids, borders)
+    pairs = collections.Counter(p for a, b in ((0, 1000), (1000, 4000)) for p in itertools.pairwise(ids[a:b].tolist()))
+    assert pairs[tuple(rules[0].tolist())] == max(pairs.values())
+    frequent = {p for p, n in pairs.items() if n >= repair.LEAST}
+    assert {tuple(p) for p in rules[: len(frequent)].tolist()} == frequent
+    assert repair.expand(seq, rules, sizes, first).tolist() == ids.tolist()
+    long = np.tile(seq, 60)  # enough symbols for the table
+    assert repair.expand(long, rules, sizes, first).tolist() == np.tile(ids, 60).tolist()
+
+
 def test_packing(docs, none):
     ids, rows = encoded(), packing.pack_documents(docs).collect()
     bins = collections.defaultdict(list)
