@@ -28,6 +28,8 @@ from .tokens import END, default_tokenizer, encoder
 
 SHARD, ROUNDS, TOP, LEAST, SLOTS = 1 << 20, 4, 4096, 32, 1 << 20
 NO_ID = -(1 << 63)
+#: Rows of 16 bytes that are broadcast at most; one for a shard, so for about two terabytes of text.
+MOST_SENT = 500_000
 
 
 def compress(ids: np.ndarray, borders: np.ndarray, rounds: int = ROUNDS, top: int = TOP, least: int = LEAST):
@@ -220,9 +222,12 @@ def _read(batches):
 def read_ids(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the shards' own bytes."""
     shards = spark.read.parquet(path)
-    # one row for a shard, without its bytes
-    before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    bases = shards.select("part", "seq", "n_tokens").withColumn("base", F.coalesce(before, F.lit(0))).drop("n_tokens")
+    upto = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for a shard, without its bytes, and one for a part
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", upto(Window.orderBy("part")).alias("low"))
+    bases = shards.select("part", "seq", upto(Window.partitionBy("part").orderBy("seq")).alias("inside")).join(parts, "part").select("part", "seq", (F.col("low") + F.col("inside")).alias("base"))
+    if shards.count() <= MOST_SENT:  # else a shuffle, of the shards' bytes too
+        bases = F.broadcast(bases)
     rows = shards.select("part", "seq", "body").join(bases, ["part", "seq"]).select("base", "body")
     out = rows.mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "start", "n_tokens", "ids_crc32")

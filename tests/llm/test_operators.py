@@ -131,9 +131,11 @@ def test_token_columns_equal_the_library():
         assert e.column(pa.array(some, pa.string()), 7)[0].tolist() == [7] * len(some)
 
 
-def test_token_files(spark, docs, none, tmp_path):
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_token_files(spark, docs, none, tmp_path, monkeypatch, sent):
     path = f"file://{tmp_path}/ids"
     repair.write_ids(docs, path, shard=500)
+    monkeypatch.setattr(repair, "MOST_SENT", sent)
     got = {r["doc_id"]: r for r in repair.read_ids(spark, path).collect()}
     at = 0
     for i, ids in enumerate(encoded()):
