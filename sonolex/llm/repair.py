@@ -41,16 +41,13 @@ def compress(ids: np.ndarray, borders: np.ndarray, rounds: int = ROUNDS, top: in
     last[borders[1:][np.diff(borders) > 0] - 1] = True
     starts = np.zeros(len(seq), bool)
     starts[borders[:-1][np.diff(borders) > 0]] = True
+    open_ = np.ones(len(seq), bool)  # pairs that may be frequent; others stay rare, as old pairs only get fewer
     for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        at = np.flatnonzero(open_[:-1] & ~last[:-1])
+        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
-        slot[last[:-1]] = SLOTS
-        seen = np.bincount(slot, minlength=SLOTS + 1)
-        seen[SLOTS] = 0
-        at = np.flatnonzero((seen >= least)[slot])  # all pairs that may be frequent
-        pair, slot = pair[at], slot[at]
+        some = np.flatnonzero((np.bincount(slot, minlength=SLOTS) >= least)[slot])
+        at, pair, slot = at[some], pair[some], slot[some]
         owner = np.zeros(SLOTS, np.uint64)
         owner[slot] = pair
         own = owner[slot] == pair  # a slot counts the pair that owns it; the few others are sorted
@@ -65,11 +62,11 @@ def compress(ids: np.ndarray, borders: np.ndarray, rounds: int = ROUNDS, top: in
         name = np.full(len(found), -1, np.int64)
         name[best] = np.arange(len(best))
         found = found[best]
-        by_slot, by_other = np.full(SLOTS, -1, np.int64), np.full(len(others), -1, np.int64)
+        by_slot, by_other = np.full(SLOTS, -2, np.int64), np.full(len(others), -2, np.int64)  # -2: rare, -1: left for the next round
         by_slot[slots], by_other[rest] = name[: len(slots)], name[len(slots) :]
         hit = np.empty(len(at), np.int64)
         hit[own], hit[~own] = by_slot[slot[own]], by_other[which]
-        at, hit = at[hit >= 0], hit[hit >= 0]
+        left, at, hit = at[hit == -1], at[hit >= 0], hit[hit >= 0]
         run = np.ones(len(at), bool)
         run[1:] = at[1:] != at[:-1] + 1
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -83,7 +80,11 @@ def compress(ids: np.ndarray, borders: np.ndarray, rounds: int = ROUNDS, top: in
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last, starts = seq[keep], last[keep], starts[keep]
+        open_, fresh = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
+        open_[left] = fresh[at] = True
+        seq, last, starts, open_, fresh = seq[keep], last[keep], starts[keep], open_[keep], fresh[keep]
+        open_ |= fresh
+        open_[:-1] |= fresh[1:]
         nxt += len(found)
     edge = np.zeros(len(borders), np.int64)
     full = np.diff(borders) > 0  # an empty document has no symbols
@@ -109,13 +110,22 @@ def _unfold(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for. Many symbols are taken from a table of all rules' ids."""
-    if len(symbols) < 4 * len(rules) + first or not len(rules):
-        return _unfold(symbols, rules, first)
+    """The ids that symbols stand for."""
+    return expand_all(symbols, rules, sizes, first)[0]
+
+
+def expand_all(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that symbols stand for, and where each symbol's begin (one more than symbols). Many symbols are taken from a table
+    of all rules' ids."""
+    if len(symbols) < 4 * len(rules) + first:
+        long = np.ones(len(symbols), np.int64)
+        big = symbols >= first
+        long[big] = sizes[symbols[big].astype(np.int64) - first]
+        return _unfold(symbols, rules, first), np.concatenate([[0], np.cumsum(long)])
     ids = np.concatenate([np.arange(first, dtype=np.uint32), _unfold(np.arange(first, first + len(rules), dtype=np.uint32), rules, first)])
     upto = np.concatenate([np.arange(first, dtype=np.int64), first + np.cumsum(np.concatenate([[0], sizes.astype(np.int64)]))])
-    table = pa.LargeListArray.from_arrays(pa.array(upto), pa.array(ids))
-    return table.take(pa.array(symbols.astype(np.int64))).flatten().to_numpy()
+    taken = pa.LargeListArray.from_arrays(pa.array(upto), pa.array(ids)).take(pa.array(symbols))
+    return taken.flatten().to_numpy(), taken.offsets.to_numpy()
 
 
 def pack_shard(docs: np.ndarray, ids: np.ndarray, borders: np.ndarray) -> bytes:
@@ -162,8 +172,8 @@ class Shard:
         return expand(own[a:b], self.rules, self.sizes, self.first)[start - skip : end - skip]
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
-        upto = np.concatenate([[0], np.cumsum(self.lengths(self.symbols))])
-        return expand(self.symbols, self.rules, self.sizes, self.first), upto[self.edge]
+        ids, upto = expand_all(self.symbols, self.rules, self.sizes, self.first)
+        return ids, upto[self.edge]
 
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, first_doc long, last_doc long, body binary"
@@ -212,7 +222,7 @@ def _read(batches):
         for base, body in zip(batch.column("base").to_pylist(), batch.column("body").to_pylist()):
             shard = Shard(body)
             ids, edge = shard.all()
-            raw = ids.astype("<u4").tobytes()
+            raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shard.docs), pa.array(edge[:-1] + base, pa.int64()), pa.array(np.diff(edge), pa.int64()), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"]

@@ -168,6 +168,22 @@ def test_repair_counts_pairs_in_shared_slots(slots, monkeypatch):
     frequent = {p for p, n in pairs.items() if n >= repair.LEAST}
     assert {tuple(p) for p in rules[: len(frequent)].tolist()} == frequent
     assert repair.expand(seq, rules, sizes, first).tolist() == ids.tolist()
+    few = repair.compress(ids, borders, rounds=20, top=1)  # a rule in a round: the others are left for later ones
+    assert repair.expand(few[0], *few[2:]).tolist() == ids.tolist()
+    parts, rules_ = [ids[:1000].tolist(), ids[1000:].tolist()], few[2].tolist()
+    for name, rule in enumerate(rules_, first):  # each is a most frequent pair of what the rules before it left
+        pairs = collections.Counter(p for part in parts for p in itertools.pairwise(part))
+        assert pairs[tuple(rule)] == max(pairs.values()) >= repair.LEAST
+        for k, part in enumerate(parts):
+            out, i = [], 0
+            while i < len(part):
+                two = part[i : i + 2] == rule
+                out.append(name if two else part[i])
+                i += 1 + two
+            parts[k] = out
+    pairs = collections.Counter(p for part in parts for p in itertools.pairwise(part))
+    assert len(rules_) == 20 or max(pairs.values()) < repair.LEAST  # nothing frequent is missed
+    assert [x for part in parts for x in part] == few[0].tolist()
     long = np.tile(seq, 60)  # enough symbols for the table
     assert repair.expand(long, rules, sizes, first).tolist() == np.tile(ids, 60).tolist()
 
