@@ -243,6 +243,23 @@ def test_bm25(spark, docs, none, tmp_path):
     assert bmw.search(bmw.build_index(none, f"file://{tmp_path}/none"), asked, 4).count() == 0
 
 
+def test_bm25_asks_with_documents(spark, tmp_path):
+    texts = {i: prose(3 if i % 3 == 0 else 90) for i in range(90)} | {40: None, 61: BASE, 80: BASE, 83: BASE}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "one"), (20, "two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {i: bmw.terms(t) for i, t in texts.items()}
+    mean, n = sum(map(len, found.values())) / len(found), len(found)
+    df = collections.Counter(t for ts in found.values() for t in set(ts))
+    want = {}
+    for q in (0, 20, 60, 80):
+        part = lambda t, ts: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * ts.count(t) * 2.2 / (ts.count(t) + 1.2 * (0.25 + 0.75 * len(ts) / mean))
+        scored = [(-round(sum(part(t, ts) for t in set(found[q]) & set(ts)), 6), i) for i, ts in found.items() if set(found[q]) & set(ts)]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(sorted(scored)[:10])}
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in bmw.op5_bmw(spark, str(tmp_path)).collect()}
+    assert {len(set(found[q])) > bmw.LONG for q in (0, 20, 60, 80)} == {True, False}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
 def test_language(spark, none):
     rows = [(i, x, y) for i, (x, y) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("12 34", "de"), ("the dog", None), ("und der", None)])]
     docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string")
