@@ -2,26 +2,32 @@
 
 Words lose the punctuation around them and are folded to lower case; numbers, units behind them and names (capitalised inside
 a sentence) become typed placeholders. Windows of ``WINDOW`` such tokens of the documents are looked up among those of the
-benchmark by hash. Hits on one diagonal (the same shift between document and item) are put together; the item is found where a
-diagonal holds at least ``COVERAGE`` of its windows and its slots are consistent: each filler of the item stands for one filler of
-the document wherever it returns, so that a question with other numbers or names is caught, and a chance meeting of templates isn't.
+benchmark by hash; items of fewer than 2 * WINDOW + 1 tokens, where one changed word could hit every window, have windows of 3 or 4
+tokens. Hits that follow one another on one diagonal (the same shift between document and item) make a run; runs of a document
+and item are chained in order, over shifts that differ by at most ``SLACK``, so that inserted, deleted and changed words cost only
+what no window covers. The item is found where a chain covers at least ``COVERAGE`` of its tokens (``needed`` has more for short items)
+and its slots are consistent: each filler of the item stands for one filler of the document wherever it returns, so that a question
+with other numbers or names is caught, and a chance meeting of templates isn't. A slot at the inner border of a run isn't held
+to that, as its filler may go on beyond the border ("Anna Maria" for "Anna").
 
 The benchmark's windows are broadcast while there are at most ``BROADCAST`` of them, else joined by their hash.
 
 Defined results: null and empty texts hold nothing; items with fewer tokens than a window are one window; empty items are
-never found; of equal diagonals the first counts; repeated rows are found each; an empty table (documents or benchmark) gives
+never found; repeated rows are found each; an empty table (documents or benchmark) gives
 an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import _FOLDED, Scratch, bytes_of, lists, mix, pieces, prepare, span_hashes, words
 
-WINDOW, COVERAGE, BROADCAST = 8, 0.5, 2_000_000
+WINDOW, COVERAGE, BROADCAST, SLACK = 8, 0.5, 2_000_000, 8
 NUMBER, UNIT, NAME = np.uint64(1), np.uint64(2), np.uint64(3)
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?\"'()[]{}<>-_*#&%$/\\|")] = True
@@ -82,8 +88,19 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     return np.where(slot > 0, slot.astype(np.uint64), value), slot, value, border
 
 
-def _windows(hits):
-    """(h, id, pos, size, v): every window, or those that ``hits`` (sorted hashes) has; v: filler hashes, 0 outside slots."""
+def window_of(n: np.ndarray) -> np.ndarray:
+    """Window size of items with n tokens."""
+    return np.select([n < WINDOW, n < WINDOW + 4, n <= 2 * WINDOW], [n, 3, 4], WINDOW)
+
+
+def needed(n: int, coverage: float = COVERAGE) -> int:
+    """Tokens of an item of n that a chain must cover; any single edit leaves as many."""
+    return n if n < WINDOW else max(math.ceil(n * coverage), min(n - 3, WINDOW))
+
+
+def _windows(hits, items: bool = False):
+    """(h, id, pos, size, v): every window of items, or those windows of documents that ``hits`` (sorted hashes) has, if not None;
+    v: filler hashes, 0 outside slots."""
 
     def run(batches):
         known = None if hits is None else hits.value
@@ -91,7 +108,7 @@ def _windows(hits):
             token, slot, value, border = templates(*bytes_of(part.column("text")))
             n = part.num_rows
             count = np.diff(border)
-            size = np.repeat(np.minimum(count, WINDOW), count)
+            size = np.repeat(window_of(count) if items else np.minimum(count, WINDOW), count)
             text = np.repeat(np.arange(n), count)
             at = np.arange(len(token)) - border[:-1][text]
             pos = np.flatnonzero(at + size <= count[text])
@@ -119,7 +136,7 @@ _ROW = "h long, id long, pos long, size int, v array<long>"
 
 
 def _short(hits, shorter):
-    """Windows of documents for items with fewer tokens than WINDOW, which are one window of their own size."""
+    """Windows of documents for the items whose windows are shorter than WINDOW."""
 
     def run(batches):
         known, sizes = hits.value, shorter
@@ -147,16 +164,100 @@ def _short(hits, shorter):
     return run
 
 
+def runs(pos: np.ndarray, ipos: np.ndarray, size: int):
+    """Runs of hits: (item start, item end, document start, hit numbers) of hits on one diagonal that overlap or touch."""
+    order = np.lexsort((ipos, pos - ipos))
+    shift, at = (pos - ipos)[order], ipos[order]
+    cut = np.flatnonzero((np.diff(shift) != 0) | (np.diff(at) > size)) + 1
+    return [(int(ipos[g[0]]), int(ipos[g[-1]]) + size, int(pos[g[0]]), g) for g in np.split(order, cut)]
+
+
+def chain(found: list, n: int) -> list[list[int]]:
+    """For each run the best chain that ends with it, as numbers of runs: later runs begin and end later in item and document."""
+    order = sorted(range(len(found)), key=lambda r: (found[r][2], found[r][0]))
+    score, before, first = {}, {}, 0
+    for x, r in enumerate(order):
+        a, b, d, _ = found[r]
+        score[r], before[r] = b - a, None
+        while d - found[order[first]][2] > 2 * n + SLACK:  # it can't be within the item and SLACK
+            first += 1
+        for q in order[first:x]:
+            a2, b2, d2, _ = found[q]
+            if a2 < a and b2 < b and d2 < d and d2 + b2 - a2 < d + b - a and abs((d - a) - (d2 - a2)) <= SLACK:
+                gain = min(b - max(a, b2), d + b - a - max(d, d2 + b2 - a2))
+                if score[q] + gain > score[r]:
+                    score[r], before[r] = score[q] + gain, q
+    out = []
+    for r in sorted(score, key=lambda r: (-score[r], r)):
+        path = [r]
+        while before[path[-1]] is not None:
+            path.append(before[path[-1]])
+        out.append(path[::-1])
+    return out
+
+
+def settle(pos, ipos, v, iv, size: int, n: int, coverage: float = COVERAGE):
+    """(covered tokens, matched windows, literal) of the best consistent chain of one document and item, or None.
+
+    pos, ipos: places of the hits; v, iv: their fillers, WINDOW each."""
+    found, best, least = runs(pos, ipos, size), None, needed(n, coverage)
+    ways = chain(found, n)
+    diagonals: dict[int, list[int]] = {}
+    for r, (a, _, d, _) in enumerate(found):
+        diagonals.setdefault(d - a, []).append(r)
+    for path in [*ways, *diagonals.values(), *([r] for r in range(len(found)))]:
+        covered, end, dend = 0, 0, -1
+        for r in path:
+            a, b, d, _ = found[r]
+            covered += max(0, min(b - max(a, end), d + b - a - max(d, dend)))
+            end, dend = max(end, b), max(dend, d + b - a)
+        if covered < least or best and covered <= best[0]:
+            continue
+        own: dict[int, int] = {}
+        good, literal, matched = True, True, set()
+        for r in path:
+            a, b, d, g = found[r]
+            soft = {a if a > 0 else -1, b - 1 if b < n else -1}
+            matched.update(ipos[g].tolist())
+            for x in g.tolist():
+                for i in range(size):
+                    theirs, ours = iv[x * WINDOW + i], v[x * WINDOW + i]
+                    if theirs:
+                        literal &= bool(theirs == ours)
+                        if int(ipos[x]) + i not in soft:
+                            good &= own.setdefault(int(theirs), int(ours)) == int(ours)
+        if good:
+            best = (covered, len(matched), literal)
+    return best
+
+
+def _chained(coverage: float):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            cells = [batch.column(c) for c in ("pos", "ipos", "v", "iv")]
+            for x, (i, item, size, n, windows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "item", "size", "n", "windows")))):
+                pos, ipos, v, iv = (c[x].values.to_numpy(zero_copy_only=False) for c in cells)
+                best = settle(pos, ipos, v, iv, size, n, coverage)
+                if best:
+                    rows.append((i, item, best[0], best[1], windows, best[2]))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "item", "covered", "matched", "windows", "literal"])
+
+    return run
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, broadcast: int = BROADCAST
 ) -> DataFrame:
-    """(id, item, matched, windows, literal) of each document and benchmark item that it holds; literal: with its own fillers."""
+    """(id, item, matched, windows, literal) of each document and benchmark item that it holds. matched: windows of the item in the
+    chain; literal: with its own fillers."""
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "decontaminate")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null").dropDuplicates(["id", "text"])
-    item = scratch.save(items.mapInArrow(_windows(None), _ROW), "items")
+    item = scratch.save(items.mapInArrow(_windows(None, items=True), _ROW), "items")
     item = item.select("h", F.col("id").alias("item"), F.col("pos").alias("ipos"), "size", F.col("v").alias("iv"))
     sizes = sorted(r["size"] for r in item.where(f"size < {WINDOW}").select("size").distinct().collect())  # at most WINDOW - 1
     keys = item.select("h").distinct()
@@ -174,15 +275,14 @@ def contaminated(
         if sizes:
             found = found.where(f"size = {WINDOW}").unionByName(rest)
     found = scratch.save(found, "found")
-    totals = item.groupBy("item").agg(F.count("*").alias("windows"))
-    pairs = F.expr("filter(zip_with(iv, v, (x, y) -> struct(x as i, y as d)), p -> p.i <> 0)")
-    met = found.join(item, ["h", "size"]).select("id", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", pairs.alias("slots"))
-    lines = met.groupBy("id", "item", "shift").agg(F.count_distinct("ipos").alias("matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    lines = lines.join(totals, "item").where(F.col("matched") >= F.ceil(F.col("windows") * coverage))
-    lines = lines.where("size(array_distinct(transform(slots, s -> s.i))) = size(slots)")
-    lines = lines.withColumn("literal", F.expr("forall(slots, s -> s.i = s.d)"))
-    best = lines.groupBy("id", "item").agg(F.max(F.struct("matched", "literal")).alias("b"), F.first("windows").alias("windows"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.matched").alias("matched"), "windows", F.col("b.literal").alias("literal"))
+    totals = item.groupBy("item", "size").agg(F.count("*").alias("windows"), F.max(F.col("ipos") + F.col("size")).alias("n"))
+    met = found.join(item, ["h", "size"]).select("id", "item", "size", F.struct("pos", "ipos", "v", "iv").alias("hit"))
+    met = met.groupBy("id", "item", "size").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.count_distinct("hit.ipos").alias("k"))
+    met = met.join(totals, ["item", "size"]).where(F.col("k") * F.col("size") >= F.col("n") * coverage)
+    met = met.select("id", "item", "size", "n", "windows", "hits.pos", "hits.ipos", F.flatten("hits.v").alias("v"), F.flatten("hits.iv").alias("iv"))
+    lines = met.mapInArrow(_chained(coverage), "id long, item long, covered int, matched long, windows long, literal boolean")
+    best = lines.groupBy("id", "item").agg(F.max(F.struct("covered", "matched", "literal", "windows")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.matched").alias("matched"), "b.windows", F.col("b.literal").alias("literal"))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -302,6 +302,28 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(docs_, items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [8, 9, 10, 11, 12, 14, 16, 17, 22, 39])
+def test_decontamination_stands_edits(spark, n):
+    w = [a + b for a in "bcdfghjklm" for b in ("ab", "eb", "ib", "ob")][:n]
+    lead = "zz yy xx ww. "
+    rows = [(100 + i, w[:i] + ["qq"] + w[i + 1 :]) for i in range(n)] + [(200 + i, w[:i] + ["qq"] + w[i:]) for i in range(1, n)] + [(300 + i, w[:i] + w[i + 1 :]) for i in range(n)]
+    if n == 39:
+        rows += [(1, [x if i not in (9, 19, 29) else "qq" for i, x in enumerate(w)]), (2, w[8:30]), (3, w[19:] + ["pp"] * 60 + w[:12])]
+    rows += [(4, [w[i % n] if i % 3 else "qq" for i in range(2 * n)])]
+    docs_ = spark.createDataFrame([(i, lead + " ".join(x) + " uu tt") for i, x in rows], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs_, items).collect()} == {i for i, _ in rows} - {4}
+
+
+def test_decontamination_follows_fillers_of_other_length(spark):
+    item = "in the evening Anna counts 12 red apples on the table and later Anna gives 5 of them to her old friend from school"
+    rows = [(1, item.replace("Anna", "Anna Maria")), (2, item.replace("Anna", "Maria", 1).replace("later Anna", "later Paul")), (3, item.replace("12", "30"))]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["literal"] for r in decontaminate.contaminated(docs_, items).collect()}
+    assert set(got) == {1, 3} and not got[3]
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- x --><div class="ad">Buy now.</div><article><h1>Title &amp; more</h1><p>First   line<br>goes <b>on</b>.<p>Second &eacute;.</p></article><footer>&copy; me</footer>'
     rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "<!-- never closed"), (5, "u", "<script>x")]
