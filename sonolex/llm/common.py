@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -24,11 +23,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where none is configured (tests)."""
+    """The folder that all executors see. There is no other: a local one would be lost with its machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.startswith("local["):  # one machine: its temporary folder is shared
+        found = "file:///tmp/sonolex-shared"
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sonolex-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -61,6 +61,15 @@ class Scratch:
             pass
 
 
+KEY = "__row"
+
+
+def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a number for each row, stored, so that every later read finds the same. Rows are told apart by it alone: ids may
+    be null or repeat."""
+    return scratch.save(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,27 +109,15 @@ def release() -> None:
 
 
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) <= n:
-        size = max(1 << 16, n + 1)
-        have = np.full(size, np.uint64(base))
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 22:
-            _POWERS[base] = have
-    return have
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: A random number for each byte at each of the first places of a span; the first is for bytes as they are, the second folds A to Z.
+_PLACES = 32
+_TABLES = _RNG.integers(0, 1 << 64, (2, _PLACES, 256), dtype=np.uint64)
+_TABLES[1] = _TABLES[0]
+_TABLES[1][:, 65:91] = _TABLES[0][:, 97:123]
+_TABLES = _TABLES.reshape(2, -1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -130,12 +127,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """64-bit hashes of the byte spans [starts, ends): polynomial prefix sums, so any span costs the same."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(len(data), _BASE)[: len(data)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * powers(len(data), _INVERSE)[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans: a sum over the places of a random number for (place, byte).
+
+    (Tabulation: no algebra ties the places to each other, as it does in polynomials modulo a power of two.)"""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    total = int(size.sum())
+    skip = np.cumsum(size) - size
+    place = np.arange(total) - np.repeat(skip, size)
+    at = place + np.repeat(starts, size)
+    byte = data[at]
+    near = place < _PLACES
+    table = _TABLES[int(fold)]
+    if near.all():
+        value = table[(place << 8) | byte]
+    else:
+        value = np.empty(total, np.uint64)
+        value[near] = table[(place[near] << 8) | byte[near]]
+        far = ~near
+        value[far] = mix(mix(place[far].astype(np.uint64) * _STEP) + table[byte[far]])
+    sums = np.zeros(total + 1, np.uint64)
+    np.cumsum(value, out=sums[1:])
+    return mix(sums[skip + size] - sums[skip] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False):
@@ -151,7 +166,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False):
     last[inner - 1] = ~space[inner - 1]
     starts = np.flatnonzero(first)
     ends = np.flatnonzero(last) + 1
-    return starts, ends, span_hashes(data, starts, ends, _FOLDED if fold else _BYTE), np.searchsorted(starts, offsets)
+    return starts, ends, span_hashes(data, starts, ends, fold), np.searchsorted(starts, offsets)
 
 
 def windowed(values: np.ndarray, n: int) -> np.ndarray:
@@ -164,6 +179,24 @@ def windowed(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs."""
+    x = a * _STEP + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def doubled(values: np.ndarray, n: int) -> np.ndarray:
+    """Order-dependent 64-bit hashes of every n consecutive values, by doubling (len - n + 1 of them)."""
+    if len(values) < n:
+        return np.zeros(0, np.uint64)
+    out, have = mix(values), 1
+    while have < n:
+        step = min(have, n - have)
+        out, have = joined(out[: len(out) - step], out[step:]), have + step
+    return out
+
+
 def lists(values: np.ndarray, offsets, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, np.int32)), pa.array(values, kind))
 

@@ -10,11 +10,14 @@ and its slots are consistent: each filler of the item stands for one filler of t
 with other numbers or names is caught, and a chance meeting of templates isn't. A slot at the inner border of a run isn't held
 to that, as its filler may go on beyond the border ("Anna Maria" for "Anna").
 
-The benchmark's windows are broadcast while there are at most ``BROADCAST`` of them, else joined by their hash.
+Items of fewer than ``WINDOW`` tokens have to be found with their own fillers, as one window: a template of a few words, or of a number
+alone, would be met in any text.
 
-Defined results: null and empty texts hold nothing; items with fewer tokens than a window are one window; empty items are
-never found; repeated rows are found each; an empty table (documents or benchmark) gives
-an empty result; other columns are ignored.
+The benchmark's window hashes are broadcast while there are at most ``BROADCAST`` of them, else a bitmap of 8 MB; hits are joined by hash.
+
+Defined results: null and empty texts hold nothing; null and empty items are never found; rows without an id and rows that repeat one are
+documents of their own, found each; items are told apart by their texts too, and may lack an id; an empty table (documents or benchmark)
+gives an empty result; other columns are ignored. Names in a row are one slot.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _FOLDED, Scratch, bytes_of, lists, mix, pieces, prepare, span_hashes, words
+from .common import KEY, Scratch, bytes_of, joined, keyed, lists, mix, pieces, prepare, span_hashes, words
 
 WINDOW, COVERAGE, BROADCAST, SLACK = 8, 0.5, 2_000_000, 8
 NUMBER, UNIT, NAME = np.uint64(1), np.uint64(2), np.uint64(3)
@@ -42,31 +45,27 @@ UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours hour m
 def _unit_hashes() -> np.ndarray:
     raw = [u.encode() for u in UNITS]
     ends = np.cumsum([len(u) for u in raw])
-    return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(u) for u in raw], ends, _FOLDED))
+    return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(u) for u in raw], ends, True))
 
 
 def templates(data: np.ndarray, offsets: np.ndarray):
     """Tokens of all texts: template hash, slot type (0: none), filler hash, and the n + 1 borders."""
     starts, ends, _, border = words(data, offsets)
-    raw_end = ends.copy()
-    for _ in range(8):  # punctuation around a word
-        at = np.flatnonzero((starts < ends) & _EDGE[data[np.minimum(ends, len(data)) - 1]]) if len(starts) else starts
-        ends[at] -= 1
-        if not len(at):
-            break
-    for _ in range(8):
-        at = np.flatnonzero((starts < ends) & _EDGE[data[np.minimum(starts, len(data) - 1)]]) if len(starts) else starts
-        starts[at] += 1
-        if not len(at):
-            break
+    raw_start, raw_end = starts.copy(), ends.copy()
+    if len(starts):  # punctuation around a word: from its first to its last byte that is none
+        solid = np.append(np.flatnonzero(~_EDGE[data]), len(data))
+        first = np.searchsorted(solid, starts)
+        last = np.searchsorted(solid, ends) - 1
+        some = (solid[first] < ends) & (last >= first)
+        starts, ends = np.where(some, solid[first], ends), np.where(some, solid[np.maximum(last, 0)] + 1, ends)
     keep = starts < ends
     kept = np.concatenate([[0], np.cumsum(keep)])
     border = kept[border]
-    starts, ends, raw_end = starts[keep], ends[keep], raw_end[keep]
+    starts, ends, raw_start, raw_end = starts[keep], ends[keep], raw_start[keep], raw_end[keep]
     n = len(starts)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint64), border
-    value = span_hashes(data, starts, ends, _FOLDED)
+    value = span_hashes(data, starts, ends, True)
     begins = np.zeros(n, bool)
     begins[border[:-1][np.diff(border) > 0]] = True
     stop = np.isin(data[raw_end - 1], list(b".!?:")) | (data[np.minimum(raw_end, len(data) - 1)] == 10)
@@ -85,6 +84,16 @@ def templates(data: np.ndarray, offsets: np.ndarray):
     unit[1:] &= number[:-1]
     unit[0] = False
     slot[unit] = 2
+    # names in a row, with nothing but spaces between them, are one
+    more = np.zeros(n, bool)
+    more[1:] = (slot[1:] == 3) & (slot[:-1] == 3) & (ends[:-1] == raw_end[:-1]) & (starts[1:] == raw_start[1:]) & ~begins[1:]
+    if more.any():
+        keep, at = np.flatnonzero(~more), np.arange(n)
+        place = (at - np.maximum.accumulate(np.where(more, 0, at))).astype(np.uint64)
+        long = np.diff(np.append(keep, n)) > 1
+        value[keep[long]] = np.add.reduceat(joined(place, value), keep)[long]
+        border = np.searchsorted(keep, border)
+        value, slot = value[keep], slot[keep]
     return np.where(slot > 0, slot.astype(np.uint64), value), slot, value, border
 
 
@@ -98,72 +107,67 @@ def needed(n: int, coverage: float = COVERAGE) -> int:
     return n if n < WINDOW else max(math.ceil(n * coverage), min(n - 3, WINDOW))
 
 
-def _windows(hits, items: bool = False):
-    """(h, id, pos, size, v): every window of items, or those windows of documents that ``hits`` (sorted hashes) has, if not None;
-    v: filler hashes, 0 outside slots."""
-
-    def run(batches):
-        known = None if hits is None else hits.value
-        for part in pieces(batches, 1 << 20):
-            token, slot, value, border = templates(*bytes_of(part.column("text")))
-            n = part.num_rows
-            count = np.diff(border)
-            size = np.repeat(window_of(count) if items else np.minimum(count, WINDOW), count)
-            text = np.repeat(np.arange(n), count)
-            at = np.arange(len(token)) - border[:-1][text]
-            pos = np.flatnonzero(at + size <= count[text])
-            h = np.zeros(len(pos), np.uint64)
-            for i in range(WINDOW):
-                inside = i < size[pos]
-                h = np.where(inside, mix(h * np.uint64(0x9E3779B97F4A7C15) + token[np.minimum(pos + i, len(token) - 1)]), h)
-            if known is not None:
-                if not len(known):
-                    continue
-                ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                pos, h = pos[ok], h[ok]
-            filler = np.where(slot > 0, value | np.uint64(1), np.uint64(0))
-            cells = [filler[np.minimum(pos + i, len(token) - 1)] * (i < size[pos]).astype(np.uint64) for i in range(WINDOW)]
-            v = np.stack(cells, 1).ravel() if len(pos) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), part.column("id").take(pa.array(text[pos])), pa.array(at[pos], pa.int64()), pa.array(size[pos], pa.int32()), lists(v.view(np.int64), np.arange(len(pos) + 1) * WINDOW, pa.int64())],
-                ["h", "id", "pos", "size", "v"],
-            )
+class Known:
+    """The benchmark's window hashes, for broadcast: all of them up to a number, else a bitmap of a fixed size that knows each and takes some
+    others for known too (the join by hash tells them apart)."""
 
-    return run
+    BITS = 26
 
+    def __init__(self, keys: DataFrame, most: int):
+        self.all = self.words = None
+        if keys.limit(most + 1).count() <= most:
+            self.all = np.sort(keys.toArrow()["h"].to_numpy().view(np.uint64))
+            return
+        place = F.col("h").bitwiseAND((1 << self.BITS) - 1)
+        rows = keys.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+        rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** 20 rows of 16 bytes at most
+        self.words = np.zeros(1 << (self.BITS - 6), np.uint64)
+        self.words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
-_ROW = "h long, id long, pos long, size int, v array<long>"
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if self.words is not None:
+            return (self.words[(h & np.uint64((1 << self.BITS) - 1)) >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+        if not len(self.all):
+            return np.zeros(len(h), bool)
+        return self.all[np.minimum(np.searchsorted(self.all, h), len(self.all) - 1)] == h
 
 
-def _short(hits, shorter):
-    """Windows of documents for the items whose windows are shorter than WINDOW."""
+def _windows(shared, sizes: list[int]):
+    """(h, id, own, pos, size, n, v): the windows of the items, each of its item's size; or, of documents, those of every size in ``sizes`` that
+    ``shared`` knows. v: filler hashes, 0 outside slots; n: the text's tokens."""
 
     def run(batches):
-        known, sizes = hits.value, shorter
         for part in pieces(batches, 1 << 20):
             token, slot, value, border = templates(*bytes_of(part.column("text")))
             count = np.diff(border)
             text = np.repeat(np.arange(part.num_rows), count)
             at = np.arange(len(token)) - border[:-1][text]
             filler = np.where(slot > 0, value | np.uint64(1), np.uint64(0))
-            for size in sizes:
-                pos = np.flatnonzero(at + size <= count[text])
+            own = np.repeat(window_of(count), count) if shared is None else None
+            for size in sizes if own is None else np.unique(own).tolist():
+                ok = at + size <= count[text]
+                pos = np.flatnonzero(ok if own is None else ok & (own == size))
                 h = np.zeros(len(pos), np.uint64)
                 for i in range(size):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + token[pos + i])
-                ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                pos, h = pos[ok], h[ok]
+                if shared is not None:
+                    some = shared.value.has(h)
+                    pos, h = pos[some], h[some]
                 v = np.zeros((len(pos), WINDOW), np.uint64)
                 for i in range(size):
                     v[:, i] = filler[pos + i]
+                row = pa.array(text[pos])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), part.column("id").take(pa.array(text[pos])), pa.array(at[pos], pa.int64()), pa.array(np.full(len(pos), size, np.int32)), lists(v.ravel().view(np.int64), np.arange(len(pos) + 1) * WINDOW, pa.int64())],
-                    ["h", "id", "pos", "size", "v"],
+                    [pa.array(h.view(np.int64)), part.column("id").take(row), part.column("own").take(row), pa.array(at[pos], pa.int64()), pa.array(np.full(len(pos), size, np.int32)), pa.array(count[text[pos]], pa.int64()), lists(v.ravel().view(np.int64), np.arange(len(pos) + 1) * WINDOW, pa.int64())],
+                    ["h", "id", "own", "pos", "size", "n", "v"],
                 )
 
     return run
 
 
+_ROW = "h long, id long, own long, pos long, size int, n long, v array<long>"
+
+
 def runs(pos: np.ndarray, ipos: np.ndarray, size: int):
     """Runs of hits: (item start, item end, document start, hit numbers) of hits on one diagonal that overlap or touch."""
     order = np.lexsort((ipos, pos - ipos))
@@ -226,7 +230,7 @@ def settle(pos, ipos, v, iv, size: int, n: int, coverage: float = COVERAGE):
                         literal &= bool(theirs == ours)
                         if int(ipos[x]) + i not in soft:
                             good &= own.setdefault(int(theirs), int(ours)) == int(ours)
-        if good:
+        if good and (literal or n >= WINDOW):  # a short template alone says little
             best = (covered, len(matched), literal)
     return best
 
@@ -236,53 +240,55 @@ def _chained(coverage: float):
         for batch in batches:
             rows = []
             cells = [batch.column(c) for c in ("pos", "ipos", "v", "iv")]
-            for x, (i, item, size, n, windows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "item", "size", "n", "windows")))):
+            for x, (i, own, item, size, n, windows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "own", "item", "size", "n", "windows")))):
                 pos, ipos, v, iv = (c[x].values.to_numpy(zero_copy_only=False) for c in cells)
                 best = settle(pos, ipos, v, iv, size, n, coverage)
                 if best:
-                    rows.append((i, item, best[0], best[1], windows, best[2]))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "item", "covered", "matched", "windows", "literal"])
+                    rows.append((i, own, item, best[1], windows, best[2]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "own", "item", "matched", "windows", "literal"])
 
     return run
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, item_col: str, item_text: str, coverage: float, broadcast: int) -> DataFrame:
+    """docs (id: the row's number, own: its own id, text) -> (id, own, item, matched, windows, literal)."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("own"), F.col(item_text).alias("text")).dropDuplicates(["own", "text"])
+    item = scratch.save(keyed(items, scratch).withColumnRenamed(KEY, "id").mapInArrow(_windows(None, []), _ROW), "items")
+    sizes = sorted(r["size"] for r in item.select("size").distinct().collect())  # WINDOW at most
+    known = spark.sparkContext.broadcast(Known(item.select("h").distinct(), broadcast))
+    found = scratch.save(docs.mapInArrow(_windows(known, sizes), _ROW).drop("n"), "found")
+    totals = item.groupBy("id", "own", "size", "n").agg(F.count("*").alias("windows")).select(F.col("id").alias("number"), F.col("own").alias("item"), "n", "windows")
+    item = item.select("h", F.col("id").alias("number"), F.col("pos").alias("ipos"), "size", F.col("v").alias("iv"))
+    met = found.join(item, ["h", "size"]).select("id", "own", "number", "size", F.struct("pos", "ipos", "v", "iv").alias("hit"))
+    met = met.groupBy("id", "own", "number", "size").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.count_distinct("hit.ipos").alias("k"))
+    met = met.join(totals, "number").where(F.col("k") * F.col("size") >= F.col("n") * coverage)
+    met = met.select("id", "own", "item", "size", "n", "windows", "hits.pos", "hits.ipos", F.flatten("hits.v").alias("v"), F.flatten("hits.iv").alias("iv"))
+    return met.mapInArrow(_chained(coverage), "id long, own long, item long, matched long, windows long, literal boolean")
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, broadcast: int = BROADCAST
 ) -> DataFrame:
     """(id, item, matched, windows, literal) of each document and benchmark item that it holds. matched: windows of the item in the
     chain; literal: with its own fillers."""
-    spark = docs.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark, "decontaminate")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null").dropDuplicates(["id", "text"])
-    item = scratch.save(items.mapInArrow(_windows(None, items=True), _ROW), "items")
-    item = item.select("h", F.col("id").alias("item"), F.col("pos").alias("ipos"), "size", F.col("v").alias("iv"))
-    sizes = sorted(r["size"] for r in item.where(f"size < {WINDOW}").select("size").distinct().collect())  # at most WINDOW - 1
-    keys = item.select("h").distinct()
-    n = keys.limit(broadcast + 1).count()
-    if n <= broadcast:
-        known = spark.sparkContext.broadcast(np.sort(keys.toArrow()["h"].to_numpy().view(np.uint64)))
-        found = docs.mapInArrow(_windows(known), _ROW)
-        if sizes:
-            found = found.where(f"size = {WINDOW}").unionByName(docs.mapInArrow(_short(known, sizes), _ROW))
-    else:
-        if sizes:
-            part = item.where(f"size < {WINDOW}").select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)
-            rest = docs.mapInArrow(_short(spark.sparkContext.broadcast(np.sort(part)), sizes), _ROW)
-        found = docs.mapInArrow(_windows(None), _ROW).join(keys, "h", "left_semi")
-        if sizes:
-            found = found.where(f"size = {WINDOW}").unionByName(rest)
-    found = scratch.save(found, "found")
-    totals = item.groupBy("item", "size").agg(F.count("*").alias("windows"), F.max(F.col("ipos") + F.col("size")).alias("n"))
-    met = found.join(item, ["h", "size"]).select("id", "item", "size", F.struct("pos", "ipos", "v", "iv").alias("hit"))
-    met = met.groupBy("id", "item", "size").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.count_distinct("hit.ipos").alias("k"))
-    met = met.join(totals, ["item", "size"]).where(F.col("k") * F.col("size") >= F.col("n") * coverage)
-    met = met.select("id", "item", "size", "n", "windows", "hits.pos", "hits.ipos", F.flatten("hits.v").alias("v"), F.flatten("hits.iv").alias("iv"))
-    lines = met.mapInArrow(_chained(coverage), "id long, item long, covered int, matched long, windows long, literal boolean")
-    best = lines.groupBy("id", "item").agg(F.max(F.struct("covered", "matched", "literal", "windows")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.matched").alias("matched"), "b.windows", F.col("b.literal").alias("literal"))
+    prepare(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"))  # read once
+    found = _found(rows, benchmark, Scratch(docs.sparkSession, "decontaminate"), item_col, item_text, coverage, broadcast)
+    return found.select(F.col("own").alias(id_col), F.col("item").alias(item_col), "matched", "windows", "literal")
+
+
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, broadcast: int = BROADCAST
+) -> DataFrame:
+    """The rows of docs, all columns, that hold no benchmark item."""
+    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    held = keyed(docs, scratch)
+    rows = held.select(F.col(KEY).alias("id"), F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"))
+    found = scratch.save(_found(rows, benchmark, scratch, item_col, item_text, coverage, broadcast).select(F.col("id").alias(KEY)).distinct(), "out")
+    return held.join(found, KEY, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -9,19 +9,20 @@ to keep chance meetings rare; it is a parameter and never chosen from the data.
 
 What meets is confirmed on the full shingle sets:
 
-1. Texts with one shingle set form a class (its smallest id stands for all), so copies cost a partial
-   aggregation.
+1. Rows are numbered and told apart by their number. Texts with one shingle set form a class (its first row
+   stands for all), so copies cost a partial aggregation.
 2. A half key that one class alone has can't be shared, so only shared half keys of both collections are
-   paired. The centre of a table key is its smallest class; a class is compared with the smallest of its
+   paired. The centre of a table key is its first class; a class is compared with the smallest of its
    centres, one pair a class however many share a key.
 3. Confirmed links are contracted to components. Components that still share a table key make up a cluster,
    and every class outside a cluster's largest component is compared with the whole cluster, in blocks; so
    no link among what meets is lost, although no group is expanded into all of its pairs.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are their own
-component; a text with fewer words than a shingle has one shingle, the whole sequence; ties go to the
-smaller id; an empty table gives an empty result; columns besides id and text are ignored. Repeated rows of
-one id count as one document.
+component; a text with fewer words than a shingle has one shingle, the whole sequence; an empty table gives an
+empty result; columns besides id and text are ignored, whatever their names. Every row counts as a document, with one
+row out for each: rows that repeat an id, with one text or several, are compared like any others, and so are rows without an
+id. A component is named by its smallest id; one of rows without an id alone has none (null).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bytes_of, lists, mix, pieces, prepare, spread, windowed, words
+from .common import KEY, Scratch, bytes_of, keyed, lists, mix, pieces, prepare, spread, windowed, words
 from .components import connected_components
 
 SHINGLE, THRESHOLD, TABLES, HALF = 5, 80, 16, 4
@@ -63,15 +64,15 @@ def shingle_sets(column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.searchsorted(owner[keep], np.arange(n + 1))
 
 
-def _sketches(shingle: int, tables: int, half: int, id_col: str, text_col: str):
+def _sketches(shingle: int, tables: int, half: int):
     rng = np.random.default_rng(7)
     k = 2 * tables * half
     mul = rng.integers(0, 1 << 62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     xor = rng.integers(0, 1 << 63, k, dtype=np.uint64)
 
     def run(batches):
-        for part in pieces(batches, column=text_col):
-            values, edge = shingle_sets(part.column(text_col), shingle)
+        for part in pieces(batches):
+            values, edge = shingle_sets(part.column("text"), shingle)
             count = np.diff(edge)
             full = np.flatnonzero(count)
             n = part.num_rows
@@ -89,14 +90,15 @@ def _sketches(shingle: int, tables: int, half: int, id_col: str, text_col: str):
             row = np.arange(n + 1) * tables
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(id_col).cast(pa.int64()),
+                    part.column("id"),
+                    part.column("own"),
                     pa.array(count, pa.int64()),
                     pa.array(prints[:, 0].view(np.int64)),
                     pa.array(prints[:, 1].view(np.int64)),
                     lists(np.ascontiguousarray(keys[:, :tables]).ravel().view(np.int64), row, pa.int64()),
                     lists(np.ascontiguousarray(keys[:, tables:]).ravel().view(np.int64), row, pa.int64()),
                 ],
-                ["id", "n", "f1", "f2", "a", "b"],
+                ["id", "own", "n", "f1", "f2", "a", "b"],
             )
 
     return run
@@ -184,27 +186,19 @@ def _compared(left: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int
     return both.groupBy("g", "i", "j").applyInArrow(_across(threshold), "u long, v long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, tables: int = TABLES, half: int = HALF
-) -> DataFrame:
-    """(id, n_shingles, component): the smallest id reachable over links of ``threshold`` percent similarity or more."""
-    spark = docs.sparkSession
-    prepare(spark)
-    scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sketch = scratch.save(
-        docs.mapInArrow(_sketches(shingle, tables, half, "id", "text"), "id long, n long, f1 long, f2 long, a array<long>, b array<long>"), "sketch"
-    )
-    classes = sketch.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    reps = scratch.save(sketch.join(classes.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"]).select("id", "a", "b"), "reps")
+def _found(rows: DataFrame, scratch: Scratch, shingle: int, threshold: int, tables: int, half: int) -> tuple[DataFrame, DataFrame]:
+    """rows (id: the row's number, own: its own id, text) -> (sketch (id, own, n, f1, f2), classes (n, f1, f2, component: a row's number))."""
+    sketch = scratch.save(rows.mapInArrow(_sketches(shingle, tables, half), "id long, own long, n long, f1 long, f2 long, a array<long>, b array<long>"), "sketch")
+    classes = scratch.save(sketch.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
+    reps = scratch.save(sketch.join(classes.select(F.col("rep").alias("id")), "id").select("id", "a", "b"), "reps")
     met = _shared(reps, "a").join(_shared(reps, "b"), "id")
-    rows = met.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
-    rows = scratch.save(rows, "rows")
-    tops = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1").select("key", "c")
-    met = scratch.save(rows.join(tops, "key"), "met")
+    keys = met.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
+    keys = scratch.save(keys, "rows")
+    tops = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1").select("key", "c")
+    met = scratch.save(keys.join(tops, "key"), "met")
     pairs = met.groupBy(F.col("id").alias("u")).agg(F.min("c").alias("v")).where("u <> v")
     pairs = scratch.save(pairs, "pairs")
-    sets = spread(docs.join(met.select("id").distinct(), "id").dropDuplicates(["id"]))
+    sets = spread(rows.join(met.select("id").distinct(), "id"))
     sets = scratch.save(sets.mapInArrow(_sets(shingle), "id long, s array<long>"), "sets")
     links = scratch.save(_linked(pairs, sets, threshold), "links")
     comps = scratch.save(connected_components(links, scratch), "comps")
@@ -218,9 +212,42 @@ def near_duplicates(
         comps = scratch.save(connected_components(links.unionByName(more), scratch, "cc2"), "comps2")
     found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     found = scratch.save(found, "found")  # so that Spark can split the rows of a class that many copies share
-    out = sketch.select("id", "n", "f1", "f2").join(found, ["n", "f1", "f2"], "left")
     scratch.drop("reps", "rows", "met", "pairs", "sets", "links", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    return sketch.drop("a", "b"), found
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, tables: int = TABLES, half: int = HALF
+) -> DataFrame:
+    """(id, n_shingles, component): the smallest id reachable over links of ``threshold`` percent similarity or more."""
+    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    docs = keyed(docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text")), scratch)
+    rows, found = _found(docs.withColumnRenamed(KEY, "id"), scratch, shingle, threshold, tables, half)
+    # the smallest id of each class, then of each component
+    least = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("own").alias("least")).join(found, ["n", "f1", "f2"])
+    least = scratch.save(least, "least")
+    names = least.groupBy("component").agg(F.min("least").alias("name"))
+    least = scratch.save(least.join(names, "component").select("n", "f1", "f2", "name"), "names")  # so that Spark can split a class of many copies
+    out = rows.join(least, ["n", "f1", "f2"], "left")
+    return out.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("own")).alias("component"))
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, tables: int = TABLES, half: int = HALF
+) -> DataFrame:
+    """The rows of docs, all columns, without all but one of each component: the row with the smallest id (rows without one come last,
+    the first of equal rows stays). Rows without words all stay."""
+    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    held = keyed(docs, scratch)
+    rows = held.select(F.col(KEY).alias("id"), F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"))
+    sketch, found = _found(rows, scratch, shingle, threshold, tables, half)
+    first = F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id"))
+    least = scratch.save(sketch.where("n > 0").groupBy("n", "f1", "f2").agg(first.alias("f")).join(found, ["n", "f1", "f2"]), "least")
+    stay = least.groupBy("component").agg(F.min("f").alias("f")).select(F.col("f.id").alias(KEY))
+    stay = scratch.save(stay.unionByName(sketch.where("n = 0").select(F.col("id").alias(KEY))), "stay")
+    return held.join(stay, KEY, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

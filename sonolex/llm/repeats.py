@@ -5,8 +5,8 @@ anchor at the same offset, so they meet under the anchor's hash, and anchors who
 before any text moves. What is left is sent as slices of text, one for an anchor and all windows it owns, to groups of
 bounded size, where the operator's own method (suffix trees, prefix-free parsing) finds the repeats.
 
-* Texts with one unit sequence form a class first. If it has two members, all their windows are repeats; the smallest
-  id stands for it against the rest.
+* Rows are numbered first and told apart by their number alone. Texts with one unit sequence form a class. If it has two members,
+  all their windows are repeats; the first stands for it against the rest.
 * An anchor that more than ``HOT`` slices share isn't gathered: its slices are keyed by longer prefixes. First equal
   slices that are cut together settle each other, and one of each kind goes on with their number, so a passage in very many
   texts is shuffled once for a batch and not once for a text. What goes on is counted by kind, which settles all but one of
@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _BASE, _INVERSE, Scratch, bytes_of, lists, mix, pieces, powers, prepare, spread
+from .common import KEY, Scratch, bytes_of, doubled, keyed, lists, mix, pieces, prepare, spread
 
 HOT, PART, FINE = 2000, 2 << 20, 8
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -75,26 +76,22 @@ def anchors(grams: np.ndarray, border: np.ndarray, window: int, gram: int):
 
 
 def _scan(units, window: int, gram: int):
-    """units(data, offsets) -> (hash of each unit, hash of each gram, byte starts, byte ends, borders)."""
+    """units(data, offsets) -> (a number for each unit: a word's hash or a byte, hash of each gram, byte starts, byte ends, borders)."""
 
     def run(batches):
         for part in pieces(batches, 1 << 20):
             own, grams, _, _, border = units(*bytes_of(part.column("text")))
             n, many = part.num_rows, np.diff(border)
             owner, first, count, text = anchors(grams, border, window, gram)
-            at = np.arange(len(own), dtype=np.uint64) - np.repeat(border[:-1], many).astype(np.uint64)
-            prints = []
-            for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-                sums = np.zeros(len(own) + 1, np.uint64)
-                np.cumsum(mix(own + at * np.uint64(salt)), out=sums[1:])
-                prints.append((sums[border[1:]] - sums[border[:-1]]).view(np.int64))
+            raw, width = memoryview(np.ascontiguousarray(own)).cast("B"), own.itemsize
+            prints = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[width * a : width * b]) for a, b in zip(border[:-1].tolist(), border[1:].tolist())]), np.int64).reshape(n, 2)
             edge = np.searchsorted(text, np.arange(n + 1))
             base = border[:-1][text]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
                     pa.array(many, pa.int64()),
-                    *map(pa.array, prints),
+                    *(pa.array(np.ascontiguousarray(prints[:, i])) for i in (0, 1)),
                     lists(grams[owner].view(np.int64), edge, pa.int64()),
                     lists(first - base, edge, pa.int32()),
                     lists(count, edge, pa.int32()),
@@ -124,12 +121,11 @@ def _slices(units, window: int):
             h, lo, cnt, hot = (found.values.field(c).to_numpy(zero_copy_only=False)[take] for c in ("h", "lo", "cnt", "hot"))
             text = np.repeat(np.arange(part.num_rows), np.diff(edge))
             unit = border[:-1][text] + lo
-            raw = data.tobytes()
-            sums = np.zeros(len(own) + 1, np.uint64)
-            np.cumsum(own * powers(len(own), _BASE)[: len(own)], out=sums[1:])
-            slice_hash = mix((sums[unit + cnt + window - 1] - sums[unit]) * powers(len(own), _INVERSE)[unit] + cnt.astype(np.uint64))
-            copies, warm = np.ones(len(h), np.int32), np.flatnonzero(hot)
-            _, first, many = np.unique(slice_hash[warm] ^ mix(h[warm].view(np.uint64)), return_index=True, return_counts=True)
+            raw, plain, width = data.tobytes(), memoryview(np.ascontiguousarray(own)).cast("B"), own.itemsize
+            slice_hash, copies, warm = np.zeros(len(h), np.uint64), np.ones(len(h), np.int32), np.flatnonzero(hot)
+            for i, a, b in zip(warm.tolist(), unit[warm].tolist(), (unit + cnt + window - 1)[warm].tolist()):
+                slice_hash[i] = xxhash.xxh3_64_intdigest(plain[width * a : width * b])
+            _, first, many = np.unique(slice_hash[warm] ^ mix(h[warm].view(np.uint64) + cnt[warm].astype(np.uint64)), return_index=True, return_counts=True)
             copies[warm] = 0
             copies[warm[first]] = many
             upto = np.where(copies > 0, ends[unit + cnt + window - 2], starts[unit])
@@ -159,9 +155,8 @@ def _cores(units, window: int, gram: int, width: int = 0):
         for part in pieces(batches, 1 << 20, "body"):
             data, offsets = bytes_of(part.column("body"))
             own, grams, starts, ends, border = units(data, offsets)
-            sums = np.zeros(len(own) + 1, np.uint64)
-            np.cumsum(own * powers(len(own), _BASE)[: len(own)], out=sums[1:])
             lo, cnt, raw, rows = part.column("lo").to_pylist(), part.column("cnt").to_pylist(), data.tobytes(), []
+            plain, wide = memoryview(np.ascontiguousarray(own)).cast("B"), own.itemsize
             for i, at in enumerate(border[:-1].tolist()):
                 p = int(np.argmin(grams[at : at + window - gram + 1]))
                 a, b = 0, width or 1
@@ -173,9 +168,8 @@ def _cores(units, window: int, gram: int, width: int = 0):
                     a, b = b, b + width if width else 2 * b
             if not rows:
                 continue
-            x, y, b, i = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
-            key = mix(mix((sums[y] - sums[x]) * powers(len(own), _INVERSE)[x]) + b.astype(np.uint64))
-            take = pa.array(i)
+            key = np.array([xxhash.xxh3_64_intdigest(plain[wide * x : wide * y], b) for x, y, b, *_ in rows], np.uint64)
+            take = pa.array([r[3] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), part.column("id").take(take), pa.array([r[4] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.int32()), pa.array([r[6] for r in rows], pa.binary()), part.column("many").take(take)],
                 ["core", "id", "lo", "cnt", "body", "many"],
@@ -196,9 +190,7 @@ def _windows(units, window: int):
             cnt = part.column("cnt").to_numpy()
             step = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
             s = np.repeat(border[:-1], cnt) + step
-            key = np.zeros(len(s), np.uint64)
-            for i in range(window):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[s + i])
+            key = doubled(own.astype(np.uint64), window)[s]
             ids, lo, settled = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), cnt) for c in ("id", "lo", "many"))
             lo, settled = lo.astype(np.int64) + step, settled.astype(bool)
             kind, first, which, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
@@ -270,11 +262,13 @@ def _solve(solver, window: int):
     return run
 
 
-def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) -> tuple[DataFrame, Scratch]:
-    """docs (id, text, more) -> the same with (whole, spans): whether every window is a repeat, else the spans of units to remove."""
-    spark, carried, docs = docs.sparkSession, docs, docs.select("id", "text")
+def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) -> DataFrame:
+    """docs (text, more) -> the same rows with (whole, spans): whether every window is a repeat, else the spans of units to remove."""
+    spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, tag)
+    carried = keyed(docs, scratch).withColumnRenamed(KEY, "id")
+    docs = carried.select("id", "text")
     scan = scratch.save(docs.mapInArrow(_scan(units, window, gram), SCAN), "scan")
     classes = scan.where(F.col("n") >= window).groupBy("n", "f1", "f2").agg(F.count("*").alias("many"), F.min("id").alias("rep"))
     classes = scratch.save(classes, "classes")
@@ -311,7 +305,7 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("whole", F.lit(False))
     marks = marks.join(copied, "id", "left_anti")
     marks = marks.unionByName(copied.select("id", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(True).alias("whole")))
-    return carried.join(marks, "id", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), scratch
+    return carried.join(marks, "id", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
 
 
 def removed_units(whole: np.ndarray, spans, border: np.ndarray) -> np.ndarray:

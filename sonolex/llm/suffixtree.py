@@ -1,13 +1,15 @@
 """Exact substring dedup over words with prefix-partitioned suffix trees.
 
-The suffixes that may share ``window`` words are split by a variable-length prefix, the words up to and with their anchor
-gram (``repeats``), into groups that fit in memory. In a group the suffix tree is built from the root down: the nodes at
-depth 1, 3, 9 and 27 are named by sorting triples of the names above, and last those at the depth of the window. An
-internal node that deep has two leaves or more, which are the repeats; their union gives the maximal repeated passages.
-
-Defined results: null and empty texts have no words; texts shorter than a window lose nothing; repeated rows of one id
-count as one text each time they appear, so they repeat each other; an empty table gives an empty result; other columns
-are ignored. Words are compared by 64-bit hashes.
+Suffixes are split by a variable-length prefix, the words up to and with their anchor gram (``repeats``): all suffixes under one
+prefix come to one group, and groups fit in memory. A group's suffix tree is held as a suffix array with the words that neighbours have in
+common (``SuffixTree``); an internal node is an interval of it whose neighbours all agree in the node's depth. A suffix whose deepest internal
+node is ``window`` words deep or more starts a maximal repeat, and every window that begins in the repeat is one too. Where
+one prefix has more than ``repeats.HOT`` slices, it is made longer, at last as long as the window itself; then the prefix is the tree's
+node, and counting its suffixes tells whether it is an inner one.
+
+Defined results: null and empty texts have no words; texts shorter than a window lose nothing; repeated rows, with or without an
+id, count as one text each, so they repeat each other, and give one row each; an empty table gives an empty result; other
+columns are ignored. Words are compared by 64-bit hashes (tabulation), windows word by word.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bytes_of, pieces, windowed, words
+from .common import bytes_of, doubled, pieces, words
 from .repeats import removed_units, repeats
 
 WINDOW, GRAM = 35, 8
@@ -25,45 +27,80 @@ WINDOW, GRAM = 35, 8
 def _units(data, offsets):
     starts, ends, hashed, border = words(data, offsets)
     grams = np.zeros(len(hashed), np.uint64)
-    grams[: max(0, len(hashed) - GRAM + 1)] = windowed(hashed, GRAM)
+    grams[: max(0, len(hashed) - GRAM + 1)] = doubled(hashed, GRAM)
     return hashed, grams, starts, ends, border
 
 
 def _named(*names: np.ndarray) -> np.ndarray:
-    """Names of tuples, in their order: a node of the tree for each."""
-    key = names[0].astype(np.int64)
+    """Names of tuples, in their order."""
+    key = names[0]
     for x in names[1:]:
-        key = (key << 21) | x
+        many = int(x.max(initial=0)) + 1
+        if (int(key.max(initial=0)) + 1) * many >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * many + x
     return np.unique(key, return_inverse=True)[1]
 
 
-def tree_nodes(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix of ``depth`` tokens or more: the tree node that stands ``depth`` tokens below the root."""
-    if len(tokens) < depth:
-        return np.zeros(0, np.int64)
-    name = np.unique(tokens, return_inverse=True)[1]
-    have = 1
-    while have * 3 <= depth:
-        m = len(name) - 2 * have
-        name, have = _named(name[:m], name[have : have + m], name[2 * have : 2 * have + m]), have * 3
-    while have < depth:
-        step = min(have, depth - have)
-        m = len(name) - step
-        name, have = _named(name[:m], name[step : step + m]), have + step
-    return name
+class SuffixTree:
+    """The suffix tree of token sequences, down to 81 tokens, as a suffix array and the lengths that neighbours share.
+
+    Names of the substrings of 1, 3, 9, 27 and 81 tokens, in their order, come from triples of the names before; a name is a place in the
+    tree. Sequences end with tokens of their own, so no node runs over an end."""
+
+    def __init__(self, tokens: np.ndarray, border: np.ndarray):
+        n, many = len(tokens), len(border) - 1
+        self.at = np.arange(n) + np.repeat(np.arange(many), np.diff(border))  # where a token stands among the ends
+        kinds, name = np.unique(tokens, return_inverse=True)
+        held = np.zeros(n + many + 1, np.int64)
+        held[self.at] = name
+        held[border[1:] + np.arange(many)] = len(kinds) + np.arange(many)
+        held[-1] = len(kinds) + many
+        self.levels = [(1, held)]
+        for size in (3, 9, 27, 81):
+            last = self.levels[-1][1]
+            far = [np.concatenate([last[k:], np.repeat(last[-1:], min(k, len(last)))]) for k in (size // 3, 2 * size // 3)]
+            self.levels.append((size, _named(last, *far)))
+        self.order = np.argsort(self.levels[-1][1][self.at], kind="stable")  # of the tokens' own suffixes
+
+    def shared(self) -> np.ndarray:
+        """How many tokens each suffix has in common with the one before it in the order; 81 and more count as 81."""
+        here = self.at[self.order]
+        a, b = here[:-1], here[1:]
+        out = np.zeros(len(a), np.int64)
+        for size, name in reversed(self.levels):
+            for _ in range(2 if size < 81 else 1):
+                x, y = np.minimum(a + out, len(name) - 1), np.minimum(b + out, len(name) - 1)
+                out += size * ((name[x] == name[y]) & (x != y) & (out < 81))
+        return np.concatenate([[0], np.minimum(out, 81)])[: len(here)]
+
+    def depth(self) -> np.ndarray:
+        """For each token: the depth of the deepest internal node above the suffix that starts there."""
+        shared = self.shared()
+        out = np.empty(len(shared), np.int64)
+        out[self.order] = np.maximum(shared, np.append(shared[1:], 0))
+        return out
+
+    def nodes(self, least: int) -> list[tuple[int, np.ndarray]]:
+        """(depth, places) of every internal node of ``least`` tokens or more: its suffixes' places."""
+        shared, out, open_ = self.shared().tolist(), [], []
+        for i, depth in enumerate([*shared[1:], 0]):
+            start = i
+            while open_ and open_[-1][0] > depth:
+                d, start = open_.pop()
+                out.append((d, np.sort(self.order[start : i + 1])))
+            if depth >= least and (not open_ or open_[-1][0] < depth):
+                open_.append((depth, start))
+        return out
 
 
 def _solver(window: int):
     def solve(data, offsets, cnt):
         _, _, hashed, border = words(data, offsets)
-        if len(hashed) >= 1 << 21:  # names take 21 bits: a very large group counts whole windows instead
-            node = windowed(hashed, window)
-        else:
-            node = tree_nodes(hashed, window)
         total = int(cnt.sum())
         at = np.repeat(border[:-1], cnt) + np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-        _, leaf, leaves = np.unique(node[at], return_inverse=True, return_counts=True)
-        return leaves[leaf] > 1
+        # slices of one text may overlap, but no window of a group is in two of them
+        return SuffixTree(hashed, border).depth()[at] >= window
 
     return solve
 
@@ -86,8 +123,8 @@ def _kept(batches, all_texts=True):
                 texts.append(b" ".join([raw[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist())]))
         rest = [c for c in part.schema.names if c.startswith("rest_")]
         yield pa.RecordBatch.from_arrays(
-            [part.column("id"), pa.array(np.diff(border), pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), *[part.column(c) for c in rest]],
-            ["id", "n_words", "n_removed", "kept", *rest],
+            [part.column("own"), pa.array(np.diff(border), pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), *[part.column(c) for c in rest]],
+            ["own", "n_words", "n_removed", "kept", *rest],
         )
 
 
@@ -96,15 +133,15 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     Kept words are joined by one space; with all_texts=False a text that loses nothing stays as it is.
     """
-    if window < GRAM:
-        raise ValueError(f"window must be {GRAM} or more")
+    if not GRAM <= window <= 81:
+        raise ValueError(f"window must be {GRAM} to 81")
     carry = carry or []
     rest = [F.col(f"`{c}`").alias(f"rest_{i}") for i, c in enumerate(carry)]
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *rest)
-    marked, _ = repeats(docs, _units, _solver(window), window, GRAM, "suffixtree")
+    docs = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"), *rest)
+    marked = repeats(docs, _units, _solver(window), window, GRAM, "suffixtree").drop("id")
     kinds = "".join(f", rest_{i} {docs.schema[f'rest_{i}'].dataType.simpleString()}" for i in range(len(carry)))
-    out = marked.mapInArrow(lambda b: _kept(b, all_texts), "id long, n_words long, n_removed long, kept string" + kinds)
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(carry)])
+    out = marked.mapInArrow(lambda b: _kept(b, all_texts), "own long, n_words long, n_removed long, kept string" + kinds)
+    return out.select(F.col("own").alias(id_col), "n_words", "n_removed", "kept", *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:

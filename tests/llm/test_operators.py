@@ -26,11 +26,26 @@ TEXTS = [None, "", "   \n\t ", "one", "One", BASE, BASE, BASE + " tail", prose(9
 ROWS = [(i, t, "en", "s", 0, "clash", 1) for i, t in enumerate(TEXTS)]
 
 
+def thue_morse(flip):
+    """1,024 letters whose polynomial hashes modulo a power of two equal those of their complement."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(1024))
+
+
+#: Rows that repeat an id, with one text or several, and rows without an id.
+OWN = prose(100)
+HARD = [(i, t) for i, t in enumerate(TEXTS)] + [(50, OWN), (50, OWN), (51, prose(80)), (51, prose(50) + " " + SHARED), (None, OWN + " end"), (None, prose(60)), (None, None), (60, thue_morse(0)), (61, thue_morse(1)), (None, "lone"), (8, BASE), (70, prose(17) + " " + thue_morse(0) + " " + BASE[:200]), (71, prose(17) + " " + thue_morse(1) + " " + BASE[:200])]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame([(i, t, 1, "x", "y") for i, t in HARD], "doc_id long, text string, id int, component string, h string").repartition(3)
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -40,19 +55,58 @@ def words(t):
     return (t or "").encode().split()
 
 
-def test_minhash(docs, none):
-    sets = {}
-    for i, t in enumerate(TEXTS):
+def key(row):
+    return tuple((x is None, x) if not isinstance(x, bytearray) else (False, bytes(x)) for x in row)
+
+
+def near(rows, shingle):
+    """(set, component's members) of every row."""
+    sets = []
+    for _, t in rows:
         w = [x.lower() for x in words(t)]
-        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
-    comp = {i: i for i in sets}
-    for a, b in itertools.combinations(sets, 2):
+        sets.append({tuple(w[j : j + shingle]) for j in range(max(1, len(w) - shingle + 1))} if w else set())
+    comp = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
             x, y = sorted((comp[a], comp[b]))
-            comp = {k: x if v == y else v for k, v in comp.items()}
-    got = {r["doc_id"]: (r["n_shingles"], r["component"]) for r in minhash.near_duplicates(docs).collect()}
-    assert got == {i: (len(sets[i]), comp[i]) for i in sets}
-    assert minhash.near_duplicates(none).count() == 0
+            comp = [x if v == y else v for v in comp]
+    return sets, [[j for j, c in enumerate(comp) if c == own] for own in comp]
+
+
+@pytest.mark.parametrize("shingle", [5, 2])
+def test_minhash(hard, none, shingle):
+    sets, members = near(HARD, shingle)
+    want = [(i, len(s), min((HARD[j][0] for j in m if HARD[j][0] is not None), default=None)) for (i, _), s, m in zip(HARD, sets, members)]
+    got = [(r["doc_id"], r["n_shingles"], r["component"]) for r in minhash.near_duplicates(hard, shingle=shingle).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    if shingle == 5:
+        assert minhash.near_duplicates(none).count() == 0
+
+
+def test_minhash_keeps_one_row_of_each_group(hard, none):
+    sets, members = near(HARD, 5)
+    want = [HARD[min(m, key=lambda j: (HARD[j][0] is None, HARD[j][0]))] if s else HARD[i] for i, (s, m) in enumerate(zip(sets, members)) if i == m[0]]
+    left = minhash.without_near_duplicates(hard)
+    assert left.columns == hard.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert len(got) == len(want) and sorted({r for r in got if r[0] is not None and r[1]}) == sorted({r for r in want if r[0] is not None and r[1]})
+    assert minhash.without_near_duplicates(none).count() == 0
+
+
+def test_minhash_finds_links_of_many_near_copies(spark):
+    """Every link at 0.8 or more of many texts with random edits, against all pairs."""
+    made = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [made.choice(WORDS) + made.choice(WORDS) for _ in range(150)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(made.randint(0, 7)):
+                own[made.randrange(150)] = made.choice(WORDS)
+            rows.append((len(rows), " ".join(own)))
+    want = {(i, m[0]) for i, m in enumerate(near(rows, 5)[1])}
+    got = {(r["doc_id"], r["component"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def covered(seqs, window):
@@ -68,34 +122,69 @@ def covered(seqs, window):
 
 
 @pytest.mark.parametrize("hot", [2000, 1])
-def test_substring(docs, none, hot, monkeypatch):
+def test_substring(hard, none, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
-    seqs = [words(t) for t in TEXTS]
-    got = {r["doc_id"]: r for r in suffixtree.remove_repeated_passages(docs).collect()}
-    for i, (s, gone) in enumerate(zip(seqs, covered(seqs, 35))):
-        assert (got[i]["n_words"], got[i]["n_removed"]) == (len(s), sum(gone))
-        assert got[i]["kept"].encode() == b" ".join(w for w, g in zip(s, gone) if not g)
-    assert suffixtree.remove_repeated_passages(none).count() == 0
+    seqs = [words(t) for _, t in HARD]
+    want = [(i, len(s), sum(gone), b" ".join(w for w, g in zip(s, gone) if not g).decode()) for (i, _), s, gone in zip(HARD, seqs, covered(seqs, 35))]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in suffixtree.remove_repeated_passages(hard).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    if hot > 1:
+        assert suffixtree.remove_repeated_passages(none).count() == 0
 
 
 @pytest.mark.parametrize("hot", [2000, 1])
-def test_bytes(docs, none, hot, monkeypatch):
+def test_bytes(hard, none, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
-    seqs = [(t or "").encode() for t in TEXTS]
-    got = {r["doc_id"]: r for r in pfp.remove_repeated_bytes(docs).collect()}
-    for i, (s, gone) in enumerate(zip(seqs, covered(seqs, 200))):
+    seqs = [(t or "").encode() for _, t in HARD]
+    want = []
+    for (i, _), s, gone in zip(HARD, seqs, covered(seqs, 200)):
         spans = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
-        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(s), sum(gone), spans)
-        assert bytes(got[i]["kept"]) == bytes(b for b, g in zip(s, gone) if not g)
-    assert pfp.remove_repeated_bytes(none).count() == 0
-
-
-def test_tree_nodes():
-    tokens_ = np.array([rng.randint(0, 1) for _ in range(200)])
-    for depth in (1, 2, 5, 9, 35):
-        names = suffixtree.tree_nodes(tokens_, depth)
-        for i, j in itertools.combinations(range(0, 200 - depth + 1, 7), 2):
-            assert (names[i] == names[j]) == (tokens_[i : i + depth].tolist() == tokens_[j : j + depth].tolist())
+        want.append((i, len(s), sum(gone), spans, bytes(b for b, g in zip(s, gone) if not g)))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in pfp.remove_repeated_bytes(hard).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    if hot > 1:
+        assert pfp.remove_repeated_bytes(none).count() == 0
+
+
+def test_suffix_tree():
+    made = random.Random(2)
+    for _ in range(120):
+        seqs = [[made.randint(0, made.choice([0, 1, 3])) for _ in range(made.randint(0, 60))] for _ in range(made.randint(1, 4))]
+        seqs += seqs[:1] if made.random() < 0.5 else []
+        flat, border = np.array([x for s in seqs for x in s], np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)
+        tree, found = suffixtree.SuffixTree(flat, border), collections.defaultdict(list)
+        for k, s in enumerate(seqs):
+            for i in range(len(s)):
+                for d in range(1, len(s) - i + 1):
+                    found[tuple(s[i : i + d])].append(int(border[k]) + i)
+        deep = [0] * len(flat)
+        for sub, places in found.items():
+            for p in places if len(places) > 1 else ():
+                deep[p] = max(deep[p], min(81, len(sub)))
+        assert tree.depth().tolist() == deep
+        nodes = {tuple(flat[p[0] : p[0] + d].tolist()): p.tolist() for d, p in tree.nodes(2)}
+        assert all(sorted(found[sub]) == places for sub, places in nodes.items())
+        for sub, places in found.items():  # each repeat goes on to the node below it
+            assert len(places) < 2 or len(sub) < 2 or any(n[: len(sub)] == sub and p == sorted(places) for n, p in nodes.items())
+
+
+def test_prefix_free_parse():
+    made = random.Random(1)
+    for _ in range(200):
+        alphabet = made.choice(["ab", "abcdefgh ", "a", "abc\0"])
+        base = "".join(made.choice(alphabet) for _ in range(made.randint(1, 400)))
+        texts = []
+        for _ in range(made.randint(1, 6)):
+            t = base
+            for _ in range(made.randint(0, 3)):
+                i = made.randrange(len(t) + 1)
+                t = t[:i] + made.choice(["x", "", alphabet]) + t[i + made.randint(0, 2) :]
+            texts.append(t.encode() if made.random() < 0.7 else "".join(made.choice(alphabet) for _ in range(made.randint(0, 300))).encode())
+        window = made.choice([64, 70, 100, 200])
+        border, cnt = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), np.array([max(0, len(t) - window + 1) for t in texts])
+        count = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+        want = [count[t[i : i + window]] > 1 for t in texts for i in range(len(t) - window + 1)]
+        assert pfp._solver(window)(np.frombuffer(b"".join(texts), np.uint8), border, cnt).tolist() == want
 
 
 def encoded():
