@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of the one before; all but the last return the columns of
 ``documents``. The result of a stage is written as Parquet in the shared folder and read again.
 
-Rows without a doc_id pass the stages that decide by it. Null texts count as empty.
+Every row is a document of its own, told apart by a number that a stage gives it: rows without a doc_id and rows that repeat one are
+judged like any others. Null texts count as empty. An empty table gives an empty table. Columns other than doc_id, text and
+n_chars pass unchanged.
 """
 
 from __future__ import annotations
@@ -15,15 +17,15 @@ from sonolex.llm.common import Scratch, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels outside the held-out fifth."""
+    """Documents that the classifier rejects go; it learns from the labels outside the held-out fifth. Without labels all stay."""
     labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
     return toxicity.without_toxic(docs, toxicity.train(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id (shingles of five words, 0.8 or more)."""
-    found = minhash.near_duplicates(docs)
-    return docs.join(found.where("component <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays, that with the smallest id (shingles of five words, 0.8 or more); of repeated
+    rows one stays. Texts without words all stay."""
+    return minhash.without_near_duplicates(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +38,12 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go; without items, none do."""
+    return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of what is left."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of what is left; an empty or null text has its end id alone."""
     return packing.pack_documents(docs)
 
 
