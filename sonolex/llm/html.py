@@ -8,9 +8,10 @@ marginals expect) on labelled pages, by default those of ``labelled_pages``, wri
 Text is the article's blocks with a marginal of one half or more: references decoded, white space inside a block made one space,
 trimmed, joined in page order by one space. An element's text is cut into blocks at its block children, so nothing moves.
 
-Defined results: null and empty pages and pages without content give an empty text; unclosed tags, comments and scripts end where
-HTML says, at the latest with the page; repeated rows are extracted each; an empty table gives an empty result; other
-columns are ignored.
+Defined results: null and empty pages and pages without content give an empty text; text without a tag is content; unclosed tags,
+comments and scripts end where HTML says, at the latest with the page; pictures (svg, canvas), buttons and menus of choices have no text,
+and end with what holds them if nothing else ends them; repeated rows are extracted each; an empty table gives an empty result; other
+columns are ignored. Time is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ BLOCKS = set(
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 SPACED = {"br", "wbr", "img", "input", "option"}
+MUTE = {"svg", "canvas", "button", "select"}
+SECTIONS = {"article", "main", "nav", "header", "footer", "aside", "form"}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|iframe|textarea|title|svg|select|button|object|canvas|math)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|noscript|iframe|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z!?][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -56,6 +59,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, parents first; blocks of text in page order with their node)."""
     nodes, blocks = [Node("html", -1)], []
     stack, at, links = [0], 0, 0
+    open_: dict[str, int] = {}  # how many elements of a tag the stack holds
+    mute: tuple[str, int] | None = None  # the element whose text doesn't count, and the stack's height there
     run: list[str] = []
 
     def flush():
@@ -67,11 +72,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[stack[-1]].own += len(text)
 
     def add(text: str):
-        if text:
+        if text and not mute:
             run.append(text)
             if links:
                 nodes[stack[-1]].links += len(text)
 
+    def cut(height: int):
+        nonlocal mute
+        for i in stack[height:]:
+            open_[nodes[i].tag] -= 1
+        del stack[height:]
+        if mute and height < mute[1]:
+            mute = None
+
     for m in _TAG.finditer(page):
         if m.start() > at:
             add(page[at : m.start()])
@@ -82,34 +95,39 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tag = tag.lower()
         if tag == "a":
             links = max(0, links - 1) if m["end"] else 1
+        elif tag in MUTE:
+            if m["end"]:
+                mute = None if mute and mute[0] == tag else mute
+            elif not mute and not m["attrs"].endswith("/"):
+                mute = (tag, len(stack))
         elif tag in SPACED:
             run.append(" ")
         elif tag in BLOCKS:
             flush()
             links = 0
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        del stack[k:]
-                        break
+                if open_.get(tag):
+                    k = len(stack) - 1
+                    while nodes[stack[k]].tag != tag:
+                        k -= 1
+                    cut(k)
+                continue
+            if tag == "html" or tag == "body" and open_.get("body"):
                 continue
-            if tag in ("html", "body"):
-                if tag == "html" or any(nodes[i].tag == "body" for i in stack):
-                    continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     name = nodes[stack[k]].tag
                     if name == "p":
-                        del stack[k:]
+                        cut(k)
                         break
                     if name in ("td", "th", "table", "li", "div", "article", "section", "body"):
                         break
-            if tag in IMPLIED:
+            if tag in IMPLIED and any(open_.get(x) for x in IMPLIED[tag][0]):
                 same, scope = IMPLIED[tag]
                 for k in range(len(stack) - 1, 0, -1):
                     name = nodes[stack[k]].tag
                     if name in same:
-                        del stack[k:]
+                        cut(k)
                         if tag != "tr" or name == "tr":
                             break
                     elif name in scope:
@@ -118,6 +136,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[stack[-1]].children.append(len(nodes))
             if tag != "hr":
                 stack.append(len(nodes))
+                open_[tag] = open_.get(tag, 0) + 1
             nodes.append(node)
     add(page[at:])
     flush()
@@ -143,11 +162,14 @@ def features(nodes: list[Node]) -> list[list[str]]:
         up = nodes[nodes[i].parent].total
         up[0] += nodes[i].total[0]
         up[1] += nodes[i].total[1]
-    out = []
-    for n in nodes:
+    out, inside = [], [""] * len(nodes)
+    for i, n in enumerate(nodes):
         text, links = n.total
         share = "n" if not text else "abcd"[min(3, int(4 * min(1.0, links / text)))]
-        found = ["bias", f"tag={n.tag}", f"link={share}", f"own={_bucket(n.own)}", f"all={_bucket(text)}", f"{kind(n.tag)}:{share}"]
+        if i:  # the two nearest sections that hold the node, itself included
+            held = inside[n.parent]
+            inside[i] = f"{held.rpartition('.')[2]}.{n.tag}" if n.tag in SECTIONS else held
+        found = ["bias", f"tag={n.tag}", f"link={share}", f"own={_bucket(n.own)}", f"all={_bucket(text)}", f"{kind(n.tag)}:{share}", f"in={inside[i]}", f"in={inside[i]}:{share}"]
         if n.attrs:
             found += {f"name={w}" for m in _NAMED.finditer(n.attrs) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower())}
         out.append(found)
@@ -243,7 +265,7 @@ OUTSIDE = {
 }
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[list[Node]]:
+def labelled_pages(n: int = 500, seed: int = 5) -> list[list[Node]]:
     """Trees of pages in many designs; y is 1 for article blocks and for elements most of whose text is theirs."""
     rng = random.Random(seed)
     pick = rng.choice
@@ -280,41 +302,53 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[list[Node]]:
             inner = pick([say(2, 14), f"<p>{say(3, 25)}</p>", f"{link()} {link()} {say(1, 5)}", f"<h3>{say(1, 4)}</h3><p>{say(4, 25)}</p>", f"&copy; {say(2, 12)}"])
         return f"<!--0--><{tag}{name} data-y=0>{inner}</{tag}>"
 
-    def article():
-        out = [pick([f"<h1>{say(2, 9)}</h1>", f"<h1>{say(2, 9)}</h1>", f"<h2>{say(2, 9)}</h2>", ""])]
-        for _ in range(rng.randint(1, 12)):
-            out.append(
-                pick(
-                    [f"<p>{say(2, 90)}</p>"] * 9
-                    + [f"<p>{say(20, 80)} {link()} {say(5, 40)}", f"<p><b>{say(3, 30)}<br>", f"<h2>{say(1, 7)}</h2>", f"<h3>{say(1, 7)}</h3>", f"<blockquote>{say(8, 40)}</blockquote>", f"<div>{say(20, 60)}</div>"]
-                    + ["<ul>" + "".join(f"<li>{say(2, 25)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>", f"<pre>{say(4, 20)}</pre>"]
-                    + ["<table>" + "".join(f"<tr><td>{say(1, 4)}</td><td>{say(1, 5)}</td></tr>" for _ in range(3)) + "</table>", f"<figure><figcaption>{say(3, 12)}</figcaption></figure>"]
-                )
-            )
+    def block():
+        return pick(
+            [f"<p>{say(2, 90)}</p>"] * 9
+            + [f"<p>{say(20, 80)} {link()} {say(5, 40)}", f"<p><b>{say(3, 30)}<br>", f"<h2>{say(1, 7)}</h2>", f"<h3>{say(1, 7)}</h3>", f"<blockquote>{say(8, 40)}</blockquote>", f"<div>{say(20, 60)}</div>", f"<p>{link()}, {link()}</p>"]
+            + ["<ul>" + "".join(f"<li>{say(2, 25)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>", f"<pre>{say(4, 20)}</pre>", "<ol>" + "".join(f"<li>{say(6, 30)}</li>" for _ in range(rng.randint(1, 4))) + "</ol>"]
+            + ["<ul>" + "".join(f"<li>{link()}{pick(['', ' ' + say(1, 4)])}</li>" for _ in range(rng.randint(1, 4))) + "</ul>"]
+            + ["<table>" + "".join(f"<tr><td>{say(1, 4)}</td><td>{say(1, 5)}</td></tr>" for _ in range(3)) + "</table>", f"<figure><figcaption>{say(3, 12)}</figcaption></figure>", f"<dl><dt>{say(1, 3)}</dt><dd>{say(3, 20)}</dd></dl>"]
+        )
+
+    def article(shell):
+        out = [pick([f"<h1>{say(2, 9)}</h1>", f"<h1>{say(2, 9)}</h1>", f"<h2>{say(2, 9)}</h2>", "", ""])]
+        if shell == "article" and out[0] and rng.random() < 0.3:
+            out = [f"<header>{out[0]}{pick(['', f'<p>{say(4, 20)}</p>'])}</header>"]
+        few = rng.random() < 0.4
+        out += [pick([f"<p>{say(4, 40)}</p>", f"<div>{say(4, 40)}</div>", say(2, 40), block()])] if few else [block() for _ in range(rng.randint(1, 12))]
         for what in ("ad", "share", "notice", "aside", "nav", "form", "comments"):
-            if rng.random() < 0.12:
+            if rng.random() < (0.03 if few else 0.12):
                 out.insert(rng.randint(0, len(out)) if what != "comments" else len(out), outside(what))
+        if shell == "article" and rng.random() < 0.15:
+            out.append(f"<footer data-y=0>{pick([link() + ' ' + link(), say(2, 8), f'<p>{say(2, 8)}</p>'])}</footer>")
         return "".join(out)
 
     trees = []
     for _ in range(n):
-        shell = pick(["article", "article", "article", "main", "section", "div", "div"])
+        shell = pick(["article", "article", "article", "main", "main", "section", "div", "div", ""])
         name = names(CONTENT_NAMES) if shell in ("article", "main") else f' class="{pick(CONTENT_NAMES)}"'
-        core = f"<{shell}{name} data-y=1>{article()}</{shell}>"
+        core = f"<{shell}{name} data-y=1>{article(shell)}</{shell}>" if shell else article(shell)
         if rng.random() < 0.35:
             wrap = pick(["main", "div", "section", "div"])
             core = f"<{wrap}{names(CONTENT_NAMES + ['container', 'wrapper', 'row', 'layout'])}>{core}{outside('aside') if rng.random() < 0.4 else ''}</{wrap}>"
         before = [outside(w) for w in ("nav", "header", "ad", "notice", "form", "aside") if rng.random() < 0.45]
         after = [outside(w) for w in ("footer", "comments", "aside", "ad", "share", "notice", "form", "nav") if rng.random() < 0.4]
         rng.shuffle(before)
-        nodes, _blocks = parse(f"<html><body>{''.join(before)}{core}{''.join(after)}</body></html>")
+        if rng.random() < 0.12:
+            before, after = [], []
+        page = f"<html><body>{''.join(before)}{core}{''.join(after)}</body></html>"
+        nodes, _blocks = parse(say(3, 60) if rng.random() < 0.03 else page if rng.random() < 0.9 else page[12:-14])
         for node in nodes:
             mark = re.search(r"data-y=(\d)", node.attrs)
             node.y = int(mark[1]) if mark else (nodes[node.parent].y if node.parent >= 0 else -1)
+            if node.y < 0 and not shell and (node.parent < 0 or node.parent == 0 or nodes[node.parent].tag == "body"):
+                node.y = 1 if node.tag not in ("html", "body") else -1
         good = [0] * len(nodes)
         whole = [0] * len(nodes)
         for i in range(len(nodes) - 1, -1, -1):
-            good[i] += nodes[i].own * (nodes[i].y == 1)
+            # text right in the body or the page is the article's: what lies outside has elements of its own
+            good[i] += nodes[i].own * (nodes[i].y != 0)
             whole[i] += nodes[i].own
             if nodes[i].parent >= 0:
                 good[nodes[i].parent] += good[i]
