@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mix, pieces, prepare
 
 BUCKETS, GRAMS, LANGUAGES = 1 << 16, (1, 2, 3), 1000
+HELD = 64  # languages that a task counts before it hands on what it has
 
 
 @lru_cache(maxsize=1)
@@ -65,6 +66,13 @@ def _count(batches):
         seen = np.bincount(own * BUCKETS + buckets, minlength=len(code) * BUCKETS).reshape(len(code), BUCKETS)
         for x, i in code.items():
             counts[x] = counts.get(x, 0) + seen[i]
+        if len(counts) > HELD:
+            yield from _rows(counts)
+            counts.clear()
+    yield from _rows(counts)
+
+
+def _rows(counts):
     for x, seen in counts.items():
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["lang", "bucket", "n"])
@@ -74,11 +82,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """(languages, log probabilities [bucket, language]) from every labelled row; no more than ``LANGUAGES`` languages."""
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     langs = sorted(set(table["lang"].to_pylist()))
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     seen = np.full((BUCKETS, len(langs)), smooth)
     code = {x: i for i, x in enumerate(langs)}
     seen[table["bucket"].to_numpy(), [code[x] for x in table["lang"].to_pylist()]] += table["n"].to_numpy()

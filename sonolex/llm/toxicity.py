@@ -1,19 +1,21 @@
 """Toxicity: a logistic classifier that is regularised with counterfactuals.
 
 Features are the presence of words and of their first 4, 5 and 6 letters, hashed. The ones that tell the labels apart best (by
-the log-likelihood ratio, over the whole sample) are kept, with all those of identity terms. Every sentence of the sample that names a
-group is also taken with its identity terms swapped for others of their kind, and the fit penalises the squared difference of the
-two scores, so that the mention of a group says nothing by itself.
+the log-likelihood ratio, over the whole sample) are kept, ``KEPT`` of them, with all those of identity terms. Every sentence of the
+labelled texts that names a group is swapped: its identity terms move on by one place in their line, by two, and so on, so each term stands for every
+other of its kind once. The fit penalises the squared change of the text's score under each such swap, so that the mention of a group says
+nothing by itself, whichever it is.
 
 Fitting takes a bounded sample of labelled rows, ``SAMPLE`` by the hash of their ids; scoring covers whole texts and all rows.
 
-Defined results: null and empty texts get the score of a text without features; if all labels are alike or missing, every score
-is the smoothed share of label 1; rows with several labels count with each; repeated rows are scored each; an empty table
-gives an empty result; other columns are ignored.
+Defined results: null and empty texts get the score of a text without features; if all labels are alike, every score is the smoothed share of
+label 1, a third without any label; rows with several labels count with each; repeated rows are scored each, and so are rows without an
+id, which have no label; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -42,7 +44,9 @@ IDENTITIES = [
     "mujeres hombres niñas niños",
     "musulmanes cristianos judíos inmigrantes refugiados",
 ]
-SWAP = {w: line[(i + 1) % len(line)] for line in map(str.split, IDENTITIES) for i, w in enumerate(line)}
+LINES = [line.split() for line in IDENTITIES]
+PLACE = {w: (k, i) for k, line in enumerate(LINES) for i, w in enumerate(line)}
+_SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 
 
 @lru_cache(maxsize=50_000)
@@ -60,43 +64,63 @@ def features(found: set[str]) -> list[int]:
     return sorted({f for w in found for f in _features(w)})
 
 
+def swaps(text: str | None) -> list[tuple[set[int], set[int]]]:
+    """For each sentence that names a group and each swap of it: the features that the text gains, and those that it loses."""
+    sentences = [words_of(x) for x in _SENTENCE.split(text or "")]
+    named = [i for i, found in enumerate(sentences) if any(w in PLACE for w in found)]
+    out: dict[tuple, tuple[set[int], set[int]]] = {}
+    counts: dict[str, int] = {}
+    for found in sentences if named else ():
+        for w in found:
+            counts[w] = counts.get(w, 0) + 1
+    own: dict[int, int] = {}  # in how many of the text's words a feature is
+    for w in counts:
+        for f in _features(w):
+            own[f] = own.get(f, 0) + 1
+    for i in named:
+        terms = sorted(w for w in sentences[i] if w in PLACE)
+        for by in range(1, max(len(LINES[PLACE[w][0]]) for w in terms)):
+            new = {LINES[k][(j + by) % len(LINES[k])] for k, j in map(PLACE.get, terms)} - sentences[i]
+            old = {w for w in terms if counts[w] == 1}  # said elsewhere too, the text keeps it
+            new = {w for w in new if w not in counts}
+            lost, gained = [f for w in old for f in _features(w)], {f for w in new for f in _features(w)}
+            gone = {f for f in lost if own[f] <= lost.count(f)}
+            if gained - set(own) or gone - gained:
+                out[tuple(sorted(old)), tuple(sorted(new))] = (gained - set(own), gone - gained)
+    return list(out.values())
+
+
 def _sampled(batches):
+    """(y, features) of each text, and (plus, minus) of each of its swaps, in flat lists with their borders."""
     for part in pieces(batches, 1 << 20):
-        plain, edge, other, edge2 = [], [0], [], [0]
-        for text in part.column("text").to_pylist():
-            found = words_of(text)
-            plain += features(found)
-            edge.append(len(plain))
-            if any(w in SWAP for w in found):
-                other += features({SWAP.get(w, w) for w in found})
-            edge2.append(len(other))
-        yield pa.RecordBatch.from_arrays([part.column("y"), lists(np.array(plain, np.int32), edge, pa.int32()), lists(np.array(other, np.int32), edge2, pa.int32())], ["y", "f", "g"])
-
-
-def fit(rows: list[tuple[int, list[int], list[int]]], n: int, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam from rows (label, features, features of the counterfactual or none)."""
-    y = np.array([r[0] for r in rows], float)
-    share = (y.sum() + 0.5) / (len(y) + 1)
+        rows = []
+        for y, text in zip(part.column("y").to_pylist(), part.column("text").to_pylist()):
+            rows.append((y, True, features(words_of(text)), []))
+            rows += [(None, False, sorted(plus), sorted(minus)) for plus, minus in swaps(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), *(pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (2, 3))], ["y", "own", "f", "g"])
+
+
+def fit(rows: list[tuple[int, list[int], int]], pairs: list[tuple[list[int], list[int]]], n: int, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam from rows (label, features, how many there are) and swaps (features gained, features lost)."""
+    y, many = np.array([r[0] for r in rows], float), np.array([r[2] for r in rows], float)
+    share = ((y * many).sum() + 0.5) / (many.sum() + 1.5)
     bias, w = float(np.log(share / (1 - share))), np.zeros(n)
     if not len(y) or y.min() == y.max():
         return w, bias
 
     def sparse(which):
-        return np.repeat(np.arange(len(rows)), [len(x) for x in which]), np.array([f for x in which for f in x], np.int64)
+        return np.repeat(np.arange(len(which)), [len(x) for x in which]), np.array([f for x in which for f in x], np.int64)
 
     r1, c1 = sparse([r[1] for r in rows])
-    pair = [i for i, r in enumerate(rows) if len(r[2])]
-    r2, c2 = sparse([rows[i][2] if len(rows[i][2]) else [] for i in range(len(rows))])
-    has = np.zeros(len(rows))
-    has[pair] = 1
+    (r2, c2), (r3, c3) = sparse([p[0] for p in pairs]), sparse([p[1] for p in pairs])
     grad_m, grad_v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
         s = bias + np.bincount(r1, w[c1], len(rows))
-        err = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(y)
+        err = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) * many / many.sum()
         g = np.bincount(c1, err[r1], n) + ridge * w
-        if pair:
-            gap = has * (s - bias - np.bincount(r2, w[c2], len(rows))) * 2 * penalty / len(pair)
-            g += np.bincount(c1, gap[r1], n) - np.bincount(c2, gap[r2], n)
+        if pairs:
+            gap = (np.bincount(r2, w[c2], len(pairs)) - np.bincount(r3, w[c3], len(pairs))) * 2 * penalty / len(pairs)
+            g += np.bincount(c2, gap[r2], n) - np.bincount(c3, gap[r3], n)
         full = np.append(g, err.sum())
         grad_m = 0.9 * grad_m + 0.1 * full
         grad_v = 0.99 * grad_v + 0.01 * full**2
@@ -114,21 +138,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
     chosen = scratch.save(chosen.orderBy(F.xxhash64("id"), "id", "y").limit(sample), "chosen")  # at most ``sample`` pairs of numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
-    rows = scratch.save(rows.mapInArrow(_sampled, "y int, f array<int>, g array<int>"), "rows")
-    total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = scratch.save(rows.mapInArrow(_sampled, "y int, own boolean, f array<int>, g array<int>"), "rows")
+    total = {r["y"]: r["n"] for r in rows.where("own").groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n = total.get(1, 0), sum(total.values())
-    seen = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("n1")).where("n >= 3")
+    seen = rows.where("own").select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("n1")).where("n >= 3")
     # log-likelihood ratio of the feature's presence and the label
     term = lambda a, e: F.when(a > 0, a * F.log(a / e)).otherwise(0.0)
     a, b = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
     p, m = n1 / max(n, 1), F.col("n").cast("double")
     ratio = term(a, m * p) + term(b, m * (1 - p)) + term(F.lit(float(n1)) - a, (n - m) * p + 1e-9) + term(F.lit(float(n - n1)) - b, (n - m) * (1 - p) + 1e-9)
     best = [r["f"] for r in seen.select("f", ratio.alias("g")).orderBy(F.desc("g"), "f").limit(KEPT).collect()] if 0 < n1 < n else []
-    kept = {f: i for i, f in enumerate(sorted({*best, *features(set(SWAP))}))}
+    kept = {f: i for i, f in enumerate(sorted({*best, *features(set(PLACE))}))}
     small = F.lit(list(kept)).cast("array<int>")
-    part = rows.select("y", F.array_intersect("f", small).alias("f"), F.array_intersect("g", small).alias("g"))
-    data = sorted((r["y"], sorted(kept[f] for f in r["f"]), sorted(kept[f] for f in r["g"])) for r in part.collect())  # ``sample`` rows of kept features
-    w, bias = fit(data, len(kept), penalty)
+    part = rows.select("y", "own", F.array_intersect("f", small).alias("f"), F.array_intersect("g", small).alias("g"))
+    data = part.where("own").groupBy("y", F.array_sort("f").alias("f")).agg(F.count("*").alias("n"))
+    # equal rows once, with their number; swaps likewise: no more than ``sample`` labels ask for
+    texts = sorted((r["y"], [kept[f] for f in r["f"]], r["n"]) for r in data.collect())
+    turned = part.where("not own and (size(f) > 0 or size(g) > 0)").select(F.array_sort("f").alias("f"), F.array_sort("g").alias("g")).distinct()
+    turned = sorted(([kept[f] for f in r["f"]], [kept[f] for f in r["g"]]) for r in turned.collect())
+    w, bias = fit(texts, turned, len(kept), penalty)
     scratch.drop("rows", "chosen")
     return {f: float(w[i]) for f, i in kept.items()}, bias
 

@@ -357,9 +357,9 @@ def test_language(spark, none):
 
 
 def test_toxicity_and_counterfactuals(spark, none):
-    bad = ["awful women", "awful men", "awful women here", "awful immigrants", "awful stuff"] * 8
-    good = ["nice day", "women at work", "nice men", "the garden", "a nice walk"] * 8
-    rows = [(i, t, int(i < len(bad))) for i, t in enumerate(bad + good)] + [(900, None, 0), (901, "", 0)]
+    bad = ["awful women", "awful men", "awful women here", "awful immigrants", "awful stuff", "awful muslims"] * 8
+    good = ["nice day", "women at work", "nice men", "the garden", "a nice walk", "christians and jews"] * 8
+    rows = [(i, t, int(i < len(bad))) for i, t in enumerate(bad + good)] + [(900, None, 0), (901, "", 0), (902, "nice " * 30_000 + "end", 0)]
     docs_ = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(docs_, docs_)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs_, model).collect()}
@@ -367,12 +367,60 @@ def test_toxicity_and_counterfactuals(spark, none):
     loose = toxicity.train(docs_, docs_, penalty=0.0)
 
     def gap(m):
-        w = lambda x: sum(m[0].get(f, 0) for f in toxicity.features({x}))
-        return abs(w("women") - w("men"))
-
-    assert gap(model) < gap(loose) or gap(loose) < 1e-6
+        """The largest change of a neutral sentence's score under a swap of its group."""
+        worst = 0.0
+        for line in toxicity.LINES[:7]:
+            value = [sum(m[0].get(f, 0) for f in toxicity.features({w, "at", "work"})) for w in line]
+            worst = max(worst, max(value) - min(value))
+        return worst
+
+    assert gap(loose) > 0.3 and gap(model) < gap(loose) / 3
     assert toxicity.score(none, model).count() == 0
-    assert {round(r["score"], 3) for r in toxicity.score(docs_, toxicity.train(none, docs_)).collect()} == {0.5}
+    assert {round(r["score"], 3) for r in toxicity.score(docs_, toxicity.train(none, docs_)).collect()} == {0.333}
+    odd = spark.createDataFrame([(1, "awful stuff", "x", 1.0)] * 2 + [(None, "nice day", "y", 2.0), (None, None, None, None)], "doc_id long, text string, id string, score double")
+    assert sorted(round(r["score"]) for r in toxicity.score(odd, model).collect()) == [0, 0, 1, 1]
+    left = toxicity.without_toxic(odd, model)
+    assert left.columns == odd.columns and sorted(str(r["text"]) for r in left.collect()) == ["None", "nice day"]
+
+
+def test_toxicity_swaps_one_sentence_at_a_time():
+    found = toxicity.swaps("Women sang. Then women and muslims left.\nThe end.")
+    names = {f: w for line in toxicity.LINES for w in line for f in toxicity._features(w)}
+    said = {(frozenset(names[f] for f in plus), frozenset(names[f] for f in minus)) for plus, minus in found}
+    # women stay, as the other sentence names them; so a swap of the second sentence alone never takes the word away
+    assert all("women" not in minus for _, minus in said)
+    assert any("muslims" in minus for _, minus in said) and any("men" in plus and not minus for plus, minus in said)
+    assert toxicity.swaps(None) == [] == toxicity.swaps("nobody here")
+
+
+def test_toxicity_tells_held_out_rows(spark):
+    """On the given tables: of held-out labelled rows most toxic ones are found, and clean ones are left alone."""
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in toxicity.op8_toxicity(spark, sf).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [i for i in truth if got[i]["held_out"] and truth[i] is not None]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert sum(got[i]["predicted"] for i in held if truth[i]) >= 0.6 * sum(truth[i] for i in held)
+    assert sum(got[i]["predicted"] for i in held if not truth[i]) <= 0.05 * len(held)
+
+
+def test_language_of_awkward_rows(spark, monkeypatch):
+    """Repeated rows, long texts, clashing names, more languages than a task holds."""
+    monkeypatch.setattr(langid, "HELD", 1)
+    rows = [(1, "the cat and the dog " * 20_000, "en", "x", 1.0)] * 2 + [(None, "der hund und die katze", "de", None, None), (3, "le chat et le chien", "fr", "y", 2.0)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, bucket string, score double")
+    got = [(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs_, langid.train(docs_)).collect()]
+    assert sorted(got, key=str) == [(1, "en"), (1, "en"), (3, "fr"), (None, "de")]
+
+
+def test_language_of_held_out_rows(spark):
+    """On the given tables, learned from the other rows."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = langid.op6_langid(spark, sf).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows) and len(rows) == len(truth)
+    held = [r for r in rows if r["held_out"] and truth[r["doc_id"]]]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held) > 100
 
 
 def test_decontamination(spark, docs, none):
@@ -478,9 +526,9 @@ def test_html_precision_and_recall_on_pages_it_was_not_fitted_on():
 
 def test_html_tables(spark):
     kinds = "page_id long, url string, html string, text string, n_chars int"
-    rows = [(1, "u", "<p>a b</p>", "x", 1)] * 2 + [(None, None, "<p>c</p>", None, None), (1, "v", "<div>" * 5000 + "deep" + "</ul>" * 5000, "x", 1)]
+    rows = [(1, "u", "<p>a b</p>", "x", 1)] * 2 + [(None, None, "<p>c</p>", None, None), (2, "v", "<div>" * 5000 + "</ul>" * 5000, "x", 1)]
     got = sorted(tuple(r) for r in html.extract(spark.createDataFrame(rows, kinds), keep=("page_id",)).fillna(-1).collect())
-    assert got == [(-1, "c", 1), (1, "a b", 3), (1, "a b", 3), (1, "deep", 4)]
+    assert got == [(-1, "c", 1), (1, "a b", 3), (1, "a b", 3), (2, "", 0)]
     assert html.extract(spark.createDataFrame([], kinds)).count() == 0
 
 
