@@ -330,6 +330,66 @@ def test_bm25(spark, docs, none, tmp_path):
     assert bmw.search(bmw.build_index(none, f"file://{tmp_path}/none"), asked, 4).count() == 0
 
 
+def ranked(texts, query, k):
+    """Brute force over (id, text) rows."""
+    found = [bmw.terms(t) for _, t in texts]
+    mean, n = sum(map(len, found)) / len(found), len(found)
+    df = collections.Counter(t for ts in found for t in set(ts))
+    own = set(bmw.terms(query))
+    part = lambda t, ts: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * ts.count(t) * 2.2 / (ts.count(t) + 1.2 * (0.25 + 0.75 * len(ts) / mean))
+    scored = [(-round(sum(part(t, ts) for t in own & set(ts)), 6), -1 if i is None else i, i) for (i, _), ts in zip(texts, found) if own & set(ts)]
+    return [(i, -s) for s, _, i in sorted(scored)[:k]]
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_bm25_of_long_queries_and_awkward_rows(spark, tmp_path, block):
+    """Long and short queries, repeated and null ids on both sides, clashing names; few shards and many blocks."""
+    made = random.Random(4)
+    vocabulary = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+    rows = [(i, " ".join(made.choices(vocabulary, weights, k=made.randint(1, 120)))) for i in range(260)]
+    rows += [(5, rows[7][1]), (5, rows[7][1]), (None, rows[9][1]), (None, rows[9][1] + " extra"), (300, None), (301, ""), (302, rows[11][1] + " tail")]
+    docs_ = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, score int, term string").repartition(2)
+    index = bmw.build_index(docs_, f"file://{tmp_path}/index", shard_terms=3000)
+    asked = [*rows[:40], (3, rows[3][1]), (None, rows[50][1]), (900, "ban"), (901, None), *rows[-7:]]
+    got = bmw.search(index, spark.createDataFrame([(*a, 1) for a in asked], "query_id long, text string, rank int"), 6, block=block).collect()
+    want = collections.Counter((q, n + 1, i) for q, t in asked for n, (i, _) in enumerate(ranked(rows, t, 6)))
+    assert collections.Counter((r["query_id"], r["rank"], r["doc_id"]) for r in got) == want
+    scores = collections.defaultdict(list)
+    for q, t in asked:
+        for n, (_, s) in enumerate(ranked(rows, t, 6)):
+            scores[q, n + 1].append(s)
+    assert all(min(abs(r["score"] - s) for s in scores[r["query_id"], r["rank"]]) < 2e-6 for r in got)
+
+
+def test_bm25_skips_documents_that_cannot_be_found():
+    """Block-max WAND scores fewer documents than hold a term, and finds the same; so does the search of many queries."""
+    made = random.Random(8)
+    held, sizes = [], []
+    for i in range(3000):
+        own = [1] * (1 + 30 * (i % 97 == 0)) + [2] * (i % 3 == 0) + [3 + made.randint(0, 50)] * 2 + [100] * made.randint(0, 40)
+        held.append(np.array(own, np.uint64))
+        sizes.append(len(own))
+    shard = bmw.Shard.build(np.arange(3000), np.array(sizes), np.concatenate(held), np.repeat(np.arange(3000), sizes))
+    shard = bmw.Shard.unpack(shard.pack())
+    idf, mean = {1: 0.4, 2: 1.1, 3: 4.0}, sum(sizes) / 3000
+    norm = lambda n: 1.2 * (0.25 + 0.75 * n / mean)
+    every = sorted((-round(sum(w * (own == t).sum() * 2.2 / ((own == t).sum() + norm(n)) for t, w in idf.items() if (own == t).any()), 6), i) for i, (own, n) in enumerate(zip(held, sizes)))
+    seen = []
+    got = sorted((-s, i) for s, i in bmw.search_shard(shard, [1, 2, 3], idf, mean, 10, seen=seen))
+    assert got == every[:10] and len(seen) < 1500
+    best = bmw.Best(1, 10)
+    bmw.search_many(shard, bmw.Asked(np.array([0, 3]), np.array([1, 2, 3], np.uint64), np.array([1, 2, 3], np.uint64), np.array([0.4, 1.1, 4.0]), mean), np.array([0]), best)
+    assert [(-s, i) for s, i in zip(best.score.tolist(), best.id.tolist())] == every[:10]
+    # documents of two languages: those of the other are never opened
+    held = [np.array([1000 * (i % 2) + made.randint(1, 40) for _ in range(60)], np.uint64) for i in range(3000)]
+    shard = bmw.Shard.build(np.arange(3000), np.full(3000, 60), np.concatenate(held), np.repeat(np.arange(3000), 60))
+    asks = np.arange(1, 41, dtype=np.uint64)
+    best = bmw.Best(1, 10)
+    opened = bmw.search_many(shard, bmw.Asked(np.array([0, 40]), asks, asks, np.full(40, 2.0), 60.0), np.array([0]), best)
+    assert opened <= 3000 // bmw.BLOCK // 2 + 8 and len(best.id) == 10 and not any(best.id % 2)
+
+
 def test_bm25_asks_with_documents(spark, tmp_path):
     texts = {i: prose(3 if i % 3 == 0 else 90) for i in range(90)} | {40: None, 61: BASE, 80: BASE, 83: BASE}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
