@@ -1,7 +1,8 @@
 """Token-id files compressed with Re-Pair, one grammar for each shard, with random access to documents.
 
-A shard holds consecutive documents in the order of their ids. Pairs of neighbouring ids are counted over the whole shard, the
-most frequent ones become nonterminals, all at once, and this is repeated on what comes out. Pairs never cross documents, so a
+A shard holds consecutive documents in the order of their ids. Pairs of neighbouring ids are counted over the whole shard; frequent ones
+become nonterminals wherever no more frequent one overlaps with them, all at once; and this is repeated on what comes out until no
+pair occurs ``LEAST`` times (a rule takes three numbers). Pairs never cross documents, so a
 document is a run of symbols and can be decoded alone; the rules keep their expansion lengths, so a position inside it is
 found without decoding what stands before.
 
@@ -26,72 +27,105 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import ARROW_BATCH_BYTES, Scratch, pieces, prepare
 from .tokens import END, default_tokenizer, encoder
 
-SHARD, ROUNDS, TOP, LEAST, SLOTS = 1 << 20, 4, 4096, 32, 1 << 20
+SHARD, LEAST, SLOTS = 1 << 20, 16, 1 << 18
 NO_ID = -(1 << 63)
 #: Rows of 16 bytes that are broadcast at most; one for a shard, so for about two terabytes of text.
 MOST_SENT = 500_000
 
 
-def compress(ids: np.ndarray, borders: np.ndarray, rounds: int = ROUNDS, top: int = TOP, least: int = LEAST):
-    """(symbols, borders, rules, expansion lengths, first nonterminal) of a shard's ids (uint32)."""
-    seq = ids.astype(np.uint32)
+def _places_in(found: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Where each pair stands among ``found`` (sorted), or -1. A table of slots knows one pair a slot; the few others are searched for."""
+    slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - SLOTS.bit_length())).view(np.int64)
+    table, own = np.full(SLOTS, -1, np.int32), slot(found)
+    table[own] = np.arange(len(found), dtype=np.int32)
+    at = slot(pairs)
+    out = table[at].astype(np.int64)
+    out[found[out] != pairs] = -1
+    lost = np.flatnonzero(table[own] != np.arange(len(found)))
+    if len(lost):
+        shared = np.zeros(SLOTS, bool)
+        shared[own[lost]] = True
+        again = np.flatnonzero(shared[at] & (out < 0))
+        near = lost[np.minimum(np.searchsorted(found[lost], pairs[again]), len(lost) - 1)]
+        out[again] = np.where(found[near] == pairs[again], near, -1)
+    return out
+
+
+def compress(ids: np.ndarray, borders: np.ndarray, least: int = LEAST, rounds: int | None = None):
+    """(symbols, borders, rules, expansion lengths, first nonterminal) of a shard's ids (uint32).
+
+    A round counts the pairs (of pairs that overlap with themselves, every second), and replaces each pair of ``least`` or more where no more
+    frequent one overlaps with it. Rounds go on until no pair is left that occurs ``least`` times; rounds bounds them for tests."""
+    seq = np.array(ids, np.uint32)
     first = nxt = int(seq.max()) + 1 if len(seq) else 0
-    rules, sizes = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)]
-    last = np.zeros(len(seq), bool)
-    last[borders[1:][np.diff(borders) > 0] - 1] = True
-    starts = np.zeros(len(seq), bool)
-    starts[borders[:-1][np.diff(borders) > 0]] = True
-    open_ = np.ones(len(seq), bool)  # pairs that may be frequent; others stay rare, as old pairs only get fewer
-    for _ in range(rounds):
-        at = np.flatnonzero(open_[:-1] & ~last[:-1])
-        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
-        some = np.flatnonzero((np.bincount(slot, minlength=SLOTS) >= least)[slot])
-        at, pair, slot = at[some], pair[some], slot[some]
-        owner = np.zeros(SLOTS, np.uint64)
-        owner[slot] = pair
-        own = owner[slot] == pair  # a slot counts the pair that owns it; the few others are sorted
-        counts = np.bincount(slot[own], minlength=SLOTS)
-        slots = np.flatnonzero(counts >= least)
-        others, which, more = np.unique(pair[~own], return_inverse=True, return_counts=True)
-        rest = np.flatnonzero(more >= least)
-        found, count = np.concatenate([owner[slots], others[rest]]), np.concatenate([counts[slots], more[rest]])
-        if not len(found):
+    rules, sizes = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
+    full = np.diff(borders) > 0  # an empty document has no symbols
+    last, starts = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
+    last[borders[1:][full] - 1] = True
+    starts[borders[:-1][full]] = True
+    open_ = ~last  # pairs that may be frequent; others stay rare, as old pairs only get fewer
+    while rounds is None or rounds > 0:
+        rounds = rounds and rounds - 1
+        at = np.flatnonzero(open_)
+        if len(at) < least:
+            break
+        pair = np.ndarray(len(seq) - 1, "<u8", seq, strides=(4,))[at]  # the second id in the upper half
+        again = np.flatnonzero((pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)) + 1  # aaa: the pair overlaps with itself
+        odd = np.zeros(len(at), bool)
+        if len(again):
+            head = np.ones(len(again), bool)
+            head[1:] = again[1:] != again[:-1] + 1
+            odd[again] = (np.arange(len(again)) - np.maximum.accumulate(np.where(head, np.arange(len(again)), 0))) % 2 == 0
+        ordered = np.sort(pair[~odd] if len(again) else pair)
+        edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
+        many = np.diff(edge)
+        some = np.flatnonzero(many >= least)
+        if not len(some):
             break
-        best = np.lexsort((found, -count))[:top]
-        name = np.full(len(found), -1, np.int64)
-        name[best] = np.arange(len(best))
-        found = found[best]
-        by_slot, by_other = np.full(SLOTS, -2, np.int64), np.full(len(others), -2, np.int64)  # -2: rare, -1: left for the next round
-        by_slot[slots], by_other[rest] = name[: len(slots)], name[len(slots) :]
-        hit = np.empty(len(at), np.int64)
-        hit[own], hit[~own] = by_slot[slot[own]], by_other[which]
-        left, at, hit = at[hit == -1], at[hit >= 0], hit[hit >= 0]
-        run = np.ones(len(at), bool)
-        run[1:] = at[1:] != at[:-1] + 1
-        since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at, hit = at[since % 2 == 0], hit[since % 2 == 0]
-        new = np.stack([(found >> np.uint64(32)).astype(np.uint32), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1)
-        known = np.concatenate(sizes)
-        long = np.where(new >= first, known[np.minimum(np.maximum(new.astype(np.int64) - first, 0), max(len(known) - 1, 0))] if len(known) else 1, 1)
+        found, many = ordered[edge[some]], many[some]
+        rank = np.empty(len(found), np.int32)
+        rank[np.lexsort((found, -many))] = np.arange(len(found), 0, -1)  # the most frequent has the highest
+        name = _places_in(found, pair)
+        hit = np.flatnonzero(name >= 0)
+        at, name, odd = at[hit], name[hit], odd[hit]
+        # runs of one pair that overlaps with itself count as one hit; it wins if what overlaps at its ends is less frequent
+        value = rank[name]
+        touch = np.zeros(len(at) + 1, bool)
+        touch[1:-1] = at[1:] == at[:-1] + 1
+        head = np.ones(len(at) + 1, bool)
+        head[1:-1] = ~touch[1:-1] | (name[1:] != name[:-1])
+        begin = np.flatnonzero(head[:-1])
+        end = np.append(begin[1:], len(at)) - 1
+        top = value[begin]
+        win = ((~touch[begin]) | (value[begin - 1] < top)) & ((~touch[end + 1]) | (value[np.minimum(end + 1, len(at) - 1)] < top))
+        chosen = (np.repeat(win, end - begin + 1) if len(begin) < len(at) else win) & ~odd
+        used = np.bincount(name[chosen], minlength=len(found)) >= least  # a rule must pay; the most frequent pair's always does
+        chosen &= used[name]
+        put, kept = at[chosen], np.flatnonzero(used)
+        number = np.cumsum(used) - 1
+        new = np.stack([found[kept] & np.uint64(0xFFFFFFFF), found[kept] >> np.uint64(32)], 1).astype(np.uint32)
+        known = np.append(sizes, np.uint32(1))
+        long = known[np.where(new >= first, new.astype(np.int64) - first, len(sizes))].sum(1, dtype=np.uint32)
         rules.append(new)
-        sizes.append(long.sum(1).astype(np.uint32))
-        seq[at] = nxt + hit
-        last[at] = last[at + 1]
+        sizes = np.concatenate([sizes, long])
+        seq[put] = (nxt + number[name[chosen]]).astype(np.uint32)
+        nxt += len(kept)
+        last[put] = last[put + 1]
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        open_, fresh = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
-        open_[left] = fresh[at] = True
-        seq, last, starts, open_, fresh = seq[keep], last[keep], starts[keep], open_[keep], fresh[keep]
-        open_ |= fresh
-        open_[:-1] |= fresh[1:]
-        nxt += len(found)
+        keep[put + 1] = False
+        open_[:] = False
+        open_[at] = True
+        open_[put] = True
+        before = put[put > 0] - 1
+        before = before - ~keep[before]  # the symbol before, if it was made of two just now
+        open_[before] = True
+        seq, last, starts, open_ = seq[keep], last[keep], starts[keep], open_[keep]
+        open_ &= ~last
     edge = np.zeros(len(borders), np.int64)
-    full = np.diff(borders) > 0  # an empty document has no symbols
     edge[:-1][full] = np.flatnonzero(starts)
     edge[-1] = len(seq)
     edge = np.minimum.accumulate(np.where(np.append(full, True), edge, len(seq))[::-1])[::-1]
-    return seq, edge, np.concatenate(rules), np.concatenate(sizes), first
+    return seq, edge, np.concatenate(rules), sizes, first
 
 
 def _unfold(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:

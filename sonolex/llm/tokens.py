@@ -2,7 +2,7 @@
 
 Byte-level BPE never merges across the borders of its pre-tokenizer. Where all white space of a text is single spaces and
 line breaks between visible characters, a space belongs to the word that follows and a line break stands alone; so each word
-(with its space) has ids of its own. A column's words are cut in place, as an Arrow array over the texts' own bytes, and looked up
+(with its space) has ids of its own, and so has punctuation behind a letter. A column's words are cut in place, as an Arrow array over the texts' own bytes, and looked up
 once for each different word; ids of words come from the library's model and are kept for the next time. All other texts, those
 that may hold a special token's string, and vocabularies of another kind are encoded whole.
 """
@@ -13,6 +13,7 @@ import json
 import os
 from array import array
 from functools import lru_cache
+from itertools import chain
 from operator import attrgetter
 
 import numpy as np
@@ -21,7 +22,7 @@ import regex
 
 from .common import bytes_of
 
-END, KEPT = 0, 250_000
+END, KEPT = 0, 200_000
 _ID = attrgetter("id")
 #: The pre-tokenizer's pattern and its map from bytes to characters (public, from byte-level BPE).
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -34,6 +35,9 @@ _ODD_BYTE, _ODD_LEAD = np.zeros(256, bool), np.zeros(256, bool)
 _ODD_BYTE[[c[0] for c in _ODD if len(c) == 1]] = True
 _ODD_LEAD[[c[0] for c in _ODD if len(c) > 1]] = True
 _ODD_LONG = [c for c in _ODD if len(c) > 1]
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 192)]] = True
 
 
 def default_tokenizer() -> str:
@@ -46,32 +50,54 @@ def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-class _Memory(dict):
-    """Ids of units: words with their space, or line breaks."""
+class _Memory:
+    """Ids of units: words with their space, punctuation behind a word, or line breaks. The units met last are kept, ``KEPT`` at least
+    and twice as many at most: a full memory becomes the old one, and what is met again moves on from there."""
 
     def __init__(self, model):
-        self.model = model
-        self.marks = {c: self.model_ids(c) for c in ",.;:!?"}
-
-    def __missing__(self, unit: str) -> bytes:
-        word = unit[1:] if unit[0] == " " else unit
-        if word.isalpha():
-            out = self.model_ids(unit)
-        elif (mark := self.marks.get(word[-1])) and word[:-1].isalpha():
-            stem = unit[:-1]
-            out = (self.get(stem) or self.model_ids(stem)) + mark
-        else:
-            out = b"".join(map(self.model_ids, _WORD.findall(unit)))
-        if len(self) < KEPT:
-            self[unit] = out
+        self.tokenize, self.new, self.old = model.tokenize, {}, {}
+
+    def ids(self, units: list[str]) -> list[bytes]:
+        out = [*map(self.new.get, units)]
+        lost = [i for i, x in enumerate(out) if x is None]
+        if not lost:
+            return out
+        for i in lost:
+            out[i] = self.old.get(units[i])
+        fresh = [i for i in lost if out[i] is None]
+        for i, x in zip(fresh, self._encoded([units[i] for i in fresh])):
+            out[i] = x
+        if len(self.new) + len(lost) > KEPT:
+            self.old, self.new = self.new, {}
+        self.new.update((units[i], out[i]) for i in lost[:KEPT])
         return out
 
-    def model_ids(self, token: str) -> bytes:
-        if token.isascii() and token[1:].isalpha():
-            shown = "\u0120" + token[1:] if token[0] == " " else token
+    def _encoded(self, units: list[str]) -> list[bytes]:
+        """Ids of units by the library's model: a word is one token of the pre-tokenizer, other units are cut as it cuts them."""
+        parts = [[u] if u.isalpha() or u[1:].isalpha() and u[0] == " " else _WORD.findall(u) for u in units]
+        flat = [x for p in parts for x in p]
+        if not flat:
+            return [b""] * len(units)
+        if any("\0" in x for x in flat):
+            shown = [x.encode().decode("latin-1").translate(_CHARS) for x in flat]
         else:
-            shown = token.encode().decode("latin-1").translate(_CHARS)
-        return array("I", map(_ID, self.model.tokenize(shown))).tobytes()
+            shown = "\0".join(flat).encode().decode("latin-1").translate(_CHARS).split(_CHARS[0])
+        found = [*map(self.tokenize, shown)]
+        ids = array("I", map(_ID, chain.from_iterable(found))).tobytes()
+        size = np.zeros(len(flat) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(flat)) * 4, out=size[1:])
+        edge = size[np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])].tolist()
+        return [ids[a:b] for a, b in zip(edge, edge[1:])]
+
+
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Places of punctuation right behind a letter (ASCII, or of Latin-1 in two bytes); the pre-tokenizer always cuts there. An
+    apostrophe may go on as a contraction, so it isn't one."""
+    at = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+    two = at[data[at - 1] >= 128]
+    two = two[two > 1]
+    sure = (data[two - 2] == 0xC3) & (data[two - 1] != 0x97) & (data[two - 1] != 0xB7)
+    return np.concatenate([at[data[at - 1] < 128], two[sure]])
 
 
 def _odd_places(data: np.ndarray) -> np.ndarray:
@@ -127,7 +153,10 @@ class Encoder:
         if not plain.all():
             cut = cut[plain[np.searchsorted(at, cut, "right") - 1]]
         after = cut[data[cut] == 10] + 1  # a line's first word has no space
-        cuts = np.concatenate([cut, after, at])
+        marks = _marks(data)
+        if not plain.all():
+            marks = marks[plain[np.searchsorted(at, marks, "right") - 1]]
+        cuts = np.concatenate([cut, after, marks, at])
         first = np.zeros(len(data) + 1, bool)
         first[cuts] = True
         cuts = np.flatnonzero(first)  # every unit's start, and the end of the data
@@ -137,9 +166,11 @@ class Encoder:
         odd[codes[np.searchsorted(cuts, at[:-1][~plain & (at[1:] > at[:-1])])]] = True
         words = units.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
         if odd.any():
-            ids = [_bytes(self.whole(w)) if o else self.memory[w] for w, o in zip(words, odd.tolist())]
+            flags = odd.tolist()
+            known = iter(self.memory.ids([w for w, o in zip(words, flags) if not o]))
+            ids = [_bytes(self.whole(w)) if o else next(known) for w, o in zip(words, flags)]
         else:
-            ids = [*map(self.memory.__getitem__, words)]
+            ids = self.memory.ids(words)
         upto = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=upto[1:])
         lists = pa.LargeListArray.from_arrays(pa.array(upto), pa.array(np.frombuffer(b"".join(ids), "<u4")))
