@@ -99,12 +99,27 @@ def compose_dakuten(s: Column) -> Column:
     return s
 
 
-def apply_rules(s: Column, rules: list[tuple[str, str]], rounds: int) -> Column:
-    """All rules in order, replaced everywhere, ``rounds`` times; every rule here shortens or settles the string."""
-    for _ in range(rounds):
+def rewritten(s: str, rules: list[tuple[str, str]]) -> str:
+    """All rules in order, replaced everywhere, again and again until nothing changes."""
+    seen = {s}
+    while True:
+        new = s
         for a, b in rules:
-            s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+            new = new.replace(a, b)
+        if new == s:
+            return s
+        if new in seen:
+            raise ValueError("the rules go round in a circle")
+        seen.add(new)
+        s = new
+
+
+def normalizer(rules: list[tuple[str, str]]):
+    """A column function that rewrites to a fixpoint; rules may not lengthen."""
+    for a, b in rules:
+        if not a or len(b) > len(a):
+            raise ValueError(f"{a!r} to {b!r} lengthens")
+    return F.udf(lambda s: None if s is None else rewritten(s, rules), "string", useArrow=True)
 
 
 #: Romaji spellings that count as one.
@@ -116,6 +131,22 @@ ROMAJI_RULES = [
 ]
 
 
-def normalize_romaji(s: Column, rounds: int = 6) -> Column:
-    """Each round halves a run of a vowel at least, so ``rounds`` settles runs of 2 ** rounds letters."""
-    return apply_rules(s, ROMAJI_RULES, rounds)
+#: The same rules as expressions that settle a string of any length at once; those of ``m`` are apart, as their order matters.
+_VOWELS = [("-", ""), ("a+", "a"), ("i+", "i"), ("u+", "u"), ("e+", "e"), ("o[ou]+", "o")]
+_NASAL = [("mb", "nb"), ("mp", "np"), ("mm", "nm")]
+_SYLLABLES = [("sha", "sya"), ("tsu", "tu"), ("chi", "ti"), ("shi", "si"), ("ji", "zi")]
+
+
+def reduce_romaji(s: Column) -> Column:
+    """All rules but those of ``m``."""
+    for a, b in _VOWELS + _SYLLABLES:
+        s = F.regexp_replace(s, a, b)
+    return s
+
+
+def normalize_romaji(s: Column) -> Column:
+    """The rules in order to a fixpoint. (A second round settles what is left of a run of ``m``, none more.)"""
+    s = reduce_romaji(s)
+    for a, b in _NASAL * 2:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return s

@@ -4,6 +4,9 @@ A query (query_id, query) is normalised and put in katakana; every piece [l, r]
 rewrites to them; Kana tokens match as wholes or by prefix anywhere; Raw, Han and Pinyin tokens match as wholes, or by prefix where
 the segment ends the query. White space and sound marks inside a segment are passed over. A step that moves in none of the tries
 gives nothing (see ``edges``).
+
+Defined results: null and blank queries match nothing; every query row matches on its own if its id is its own (rows that share an id are taken for
+one query of several spellings); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,31 +28,43 @@ def segments(queries: DataFrame, trim: bool = False) -> DataFrame:
     return rows.select("query_id", "l", "r", "n", "seg", T.strip_ignorable(F.col("seg")).alias("bare"), "last")
 
 
+_VOICED = {one: base for pairs in T.COMPOSED.values() for base, one in pairs.items()}
+
+
+def _plain(s):
+    """Without sound marks, composed or not."""
+    return F.translate(T.strip_sound_marks(s), "".join(_VOICED), "".join(_VOICED.values()))
+
+
+def _settled(kana: str, ways: list[str] | None) -> tuple[str, bool]:
+    """(the segment with each mark composed if a token goes on so, else dropped; whether it ends in no mark, or in one that was composed)."""
+    known, out, moved = set(ways or []), "", True
+    for ch in kana:
+        moved = True
+        if ch in T.COMPOSED:
+            one = T.COMPOSED[ch].get(out[-1:], None)
+            moved = one is not None and out[:-1] + one in known
+            out = out[:-1] + one if moved else out
+        else:
+            out += ch
+    return out, moved
+
+
 def resolve_marks(segs: DataFrame, kana: DataFrame) -> DataFrame:
-    """Adds ``kana``, the segment with each sound mark composed if a token goes on so and else dropped, and ``moved``: whether
-    the last code point isn't a mark or was composed. kana: distinct prefixes of Kana tokens."""
+    """Adds ``kana``, the segment with its sound marks settled, and ``moved``: whether its last code point counted. kana: distinct prefixes of Kana tokens.
+
+    What may decide a mark are the prefixes that are spelt alike but for marks: one join for all marks of all segments."""
+    rows = segs.withColumn("kana", F.regexp_replace("seg", T.SPACE, ""))
     marks = f"[{T.VOICED}{T.SEMIVOICED}]"
-    rows = segs.withColumn("kana", F.regexp_replace("seg", T.SPACE, "")).withColumn("moved", ~F.col("last").rlike(marks))
-    most = rows.select(F.max(F.length("kana") - F.length(T.strip_sound_marks(F.col("kana"))))).first()[0] or 0
-    for _ in range(most):
-        at = F.regexp_instr("kana", F.lit(marks))
-        rows = rows.withColumn("at", at).withColumn("mark", F.expr("substring(kana, at, 1)")).withColumn("base", F.expr("if(at > 1, substring(kana, at - 1, 1), '')"))
-        one = F.lit(None).cast("string")
-        for mark, pairs in T.COMPOSED.items():
-            known = F.col("base").isin(*pairs) & (F.col("mark") == mark)
-            one = F.when(known, F.translate("base", "".join(pairs), "".join(pairs.values()))).otherwise(one)
-        rows = rows.withColumn("one", one).withColumn("way", F.concat(F.expr("if(at > 1, substring(kana, 1, at - 2), '')"), "one"))
-        rows = rows.join(kana.select(F.col("prefix").alias("way"), F.lit(True).alias("there")), "way", "left")
-        rest = F.expr("substring(kana, at + 1)")
-        ends = (F.col("at") == F.length("kana")) & F.col("there").isNotNull()
-        moved = F.when(F.col("at") == 0, F.col("moved")).otherwise(F.col("moved") | ends)
-        done = F.when(F.col("at") == 0, F.col("kana")).when(F.col("there"), F.concat("way", rest)).otherwise(F.concat(F.expr("substring(kana, 1, at - 1)"), rest))
-        rows = rows.withColumn("moved", moved).withColumn("kana", done).select(*segs.columns, "kana", "moved")
-    return rows
-
-
-def _forms(s):
-    return phonetics.normal_forms(s) if s else []
+    free = rows.where(~F.col("kana").rlike(marks)).withColumn("moved", F.lit(True))
+    bound = rows.where(F.col("kana").rlike(marks))
+    at = F.filter(F.sequence(F.lit(1), F.length("kana")), lambda i: F.substring(F.col("kana"), i, 1).isin(T.VOICED, T.SEMIVOICED))
+    keys = bound.withColumn("key", F.explode(F.array_distinct(F.transform(at, lambda i: _plain(F.substring(F.col("kana"), F.lit(1), i))))))
+    known = kana.select("prefix", _plain(F.col("prefix")).alias("key"))
+    ways = keys.join(known, "key").groupBy("query_id", "l", "r").agg(F.collect_set("prefix").alias("ways"))
+    settle = F.udf(_settled, "struct<kana:string,moved:boolean>", useArrow=True)
+    done = bound.join(ways, ["query_id", "l", "r"], "left").withColumn("s", settle("kana", "ways"))
+    return free.unionByName(done.select(*segs.columns, F.col("s.kana").alias("kana"), F.col("s.moved").alias("moved")))
 
 
 def edges(index: Index, queries: DataFrame, trim: bool = False, long_vowel_at_end: bool = False) -> DataFrame:
@@ -66,9 +81,10 @@ def edges(index: Index, queries: DataFrame, trim: bool = False, long_vowel_at_en
     segs = segs.where("moved")
     keys = ["query_id", "l", "r", "n"]
 
-    forms = F.udf(_forms, "array<string>", useArrow=True)
-    latin = segs.where(F.col("bare").rlike("^[a-z-]+$")).select(*keys, "bare", F.explode(forms("bare")).alias("prefix"))
-    romaji = latin.join(prefixes.where("trie = 'romaji' and is_exact"), "prefix").select(*keys, "bare", "token_id").distinct()
+    latin = segs.where(F.col("bare").rlike("^[a-z-]+$")).select(*keys, "bare", T.reduce_romaji(F.col("bare")).alias("reduced"))
+    tokens = prefixes.where("trie = 'romaji' and is_exact").select("token_id", "prefix", phonetics.romaji_key(F.col("prefix")).alias("key"))
+    latin = latin.withColumn("key", phonetics.romaji_key(F.col("reduced")))
+    romaji = latin.join(tokens, "key").where(phonetics.reaches(F.col("reduced"), F.col("prefix"))).select(*keys, "bare", "token_id").distinct()
     if not long_vowel_at_end:
         before = romaji.select("query_id", "l", (F.col("r") + 1).alias("r"), "token_id", F.col("bare").alias("was"))
         alive = other.select(F.col("prefix").alias("was")).distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .storage import numbered
 
 
 def from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -23,4 +25,4 @@ def from_json(spark: SparkSession, path: str, field: str = "title") -> DataFrame
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
     texts = df.select(F.col(column).alias("text")).where("text is not null").distinct()
-    return texts.select((F.row_number().over(Window.orderBy("text")) - 1).cast("long").alias("doc_id"), "text")
+    return numbered(texts, "doc_id", "text").select("doc_id", "text")

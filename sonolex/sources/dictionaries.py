@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,6 +21,11 @@ class Dictionaries:
     pinyin_readings: DataFrame
     han_variants: DataFrame
 
+    @cached_property
+    def longest(self) -> int:
+        """Characters of the longest surface: the dictionary is static, so it is asked once."""
+        return self.kana_readings.agg(F.max(F.length("surface"))).first()[0] or 0
+
 
 def _pairs(spark: SparkSession, text: str, names: str) -> DataFrame:
     words = text.split()
@@ -38,19 +44,25 @@ def empty(spark: SparkSession) -> Dictionaries:
 def variant_classes(pairs: DataFrame) -> DataFrame:
     """Connected components of single-character pairs, as (ch, variant) for every two of a class, itself included.
 
-    Labels go to the smallest neighbour's until nothing changes. Pairs of longer strings are ignored.
+    Pairs of longer strings are ignored. The pairs are characters of a script, some ten thousand at most, so the driver joins them.
     """
-    one = pairs.where((F.length("from_ch") == 1) & (F.length("to_ch") == 1))
-    edges = one.select(F.col("from_ch").alias("a"), F.col("to_ch").alias("b"))
-    edges = edges.unionByName(one.select(F.col("to_ch").alias("a"), F.col("from_ch").alias("b"))).distinct().cache()
-    label = edges.select(F.col("a").alias("ch")).distinct().withColumn("root", F.col("ch"))
-    while True:
-        near = edges.join(label, edges.b == label.ch).groupBy("a").agg(F.min("root").alias("m"))
-        new = label.join(near, label.ch == near.a, "left").select("ch", F.least("root", F.coalesce("m", "root")).alias("root"), (F.col("m") < F.col("root")).alias("moved"))
-        rows = new.collect()  # a static dictionary of characters, a few thousand rows
-        label = edges.sparkSession.createDataFrame([(r["ch"], r["root"]) for r in rows], "ch string, root string")
-        if not any(r["moved"] for r in rows):
-            break
-    edges.unpersist()
-    other = label.select(F.col("ch").alias("variant"), "root")
-    return label.join(other, "root").select("ch", "variant")
+    one = pairs.where((F.length("from_ch") == 1) & (F.length("to_ch") == 1)).distinct()
+    root: dict[str, str] = {}
+
+    def find(ch: str) -> str:
+        root.setdefault(ch, ch)
+        while root[ch] != ch:
+            root[ch] = root[root[ch]]
+            ch = root[ch]
+        return ch
+
+    for r in one.select("from_ch", "to_ch").collect():
+        a, b = sorted((find(r["from_ch"]), find(r["to_ch"])))
+        root[b] = a
+    label = pairs.sparkSession.createDataFrame([(ch, find(ch)) for ch in sorted(root)], "ch string, root string")
+    return label.join(label.select(F.col("ch").alias("variant"), "root"), "root").select("ch", "variant")
+
+
+def variant_lists(classes: DataFrame) -> DataFrame:
+    """(ch, variants): each character's class as a list in the order of code points."""
+    return classes.groupBy("ch").agg(F.array_sort(F.collect_set("variant")).alias("variants"))

@@ -63,6 +63,85 @@ def test_settled_spelling_is_a_normal_form(s):
     assert settled == "" or settled in phonetics.normal_forms(s)
 
 
+def one_place_at_a_time(s):
+    seen, todo, out = {s}, [s], set()
+    while todo:
+        x = todo.pop()
+        moved = False
+        for a, b in T.ROMAJI_RULES:
+            at = x.find(a)
+            while at >= 0:
+                moved = True
+                y = x[:at] + b + x[at + len(a) :]
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+                at = x.find(a, at + 1)
+        if not moved:
+            out.add(x)
+    return sorted(out - {""})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aiueombpmschtjuyn-", max_size=8))
+def test_normal_forms_against_brute_force(s):
+    assert phonetics.normal_forms(s) == one_place_at_a_time(s)
+    assert phonetics.settled_romaji(s) == T.rewritten(s, T.ROMAJI_RULES)
+
+
+def test_romaji_of_any_length(spark):
+    long = ["a" * 5000, "ou" * 3000, "m" * 41 + "ba", "shi" * 2000, "o-u" * 500]
+    assert column(spark, T.normalize_romaji, long) == [T.rewritten(x, T.ROMAJI_RULES) for x in long]
+    assert column(spark, phonetics.to_romaji_strictly, ["ッ" * 9 + "カ"]) == ["k" * 10 + "a"] and phonetics.romaji_of("ッ" * 9 + "カ") == "k" * 10 + "a"
+
+
+def test_normalizer(spark):
+    assert column(spark, T.normalizer([("aa", "a"), ("ab", "c")]), ["aaaab", "xab", None, ""]) == ["ac", "xc", None, ""]
+    with pytest.raises(ValueError):
+        T.normalizer([("a", "bb")])
+    with pytest.raises(ValueError):
+        T.rewritten("a", [("b", "c"), ("a", "b"), ("c", "a")])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="あいうえおかこきゃょうっンんーとくぐ゛゜マバ漢アッサシチツ", max_size=8))
+def test_spoken_phrases_against_all_phrases(run):
+    """The search for readings that contract finds what a filter over all phrases finds."""
+    import re
+
+    from sonolex.operators import tokenize as tk
+
+    units = [(m.start(), m.group()) for m in re.finditer(f"[^{tk._MARKS}][{tk._MARKS}]*", run)]
+    kana, romaji = [], []
+    for i in range(len(units)):
+        for j in range(i, len(units)):
+            said = "".join(tk._kana_of(u) for _, u in units[i : j + 1])
+            if tk._IS_KANA.fullmatch(said):
+                n = units[j][0] + len(units[j][1]) - units[i][0]
+                kana.append((units[i][0], n, said))
+                romaji.append((units[i][0], n, phonetics.romaji_of(said)))
+    assert sorted(tk._sounds(run, [])) == sorted([(tk.KANA, *r) for r in atomic(kana)] + [(tk.ROMAJI, *r) for r in atomic(romaji)])
+
+
+def test_grafted_trie():
+    from sonolex.operators import index as ix
+
+    tokens = [(0, "sya"), (1, "tu"), (2, "o"), (3, "sa"), (4, "kanbe")]
+    root = ix.graft(ix.trie(tokens), T.ROMAJI_RULES)
+    for text, token in (("sha", 0), ("tsu", 1), ("ou", 2), ("oo", 2), ("o-", 2), ("saa", 3), ("kambe", 4), ("syaa", 0), ("s-ha", 0)):
+        assert ix.accepted(root, text) == {token}
+    assert ix.accepted(root, "x") == set() and ix.accepted(root, "s", below=True) == {0, 3}
+    data = ix.serialize_trie(root)
+    assert ix.deserialize_trie(data) == {t: x for t, x in tokens}
+    again = ix.read_trie(data)
+    assert ix.serialize_trie(again) == data and ix.accepted(again, "sha") == {0} and ix.accepted(again, "kambe") == {4}
+    assert ix.serialize_trie([(0, "ab"), (1, "a")]) == [0, 97, 2, 0, 1, 98, 3, -2, 2, -1]
+    with pytest.raises(ValueError):
+        ix.graft(ix.trie([(0, "a"), (1, "aa")]), [("aa", "a")])
+    with pytest.raises(ValueError):
+        ix.graft(ix.trie([(0, "a")]), [("a", "bb")])
+
+
 def test_atomic():
     rows = [(0, 1, "キョ"), (1, 1, "ウ"), (0, 2, "キョウ"), (0, 2, "コンニチ"), (0, 1, "コン"), (1, 1, "ニチ"), (0, 2, "アス")]
     assert (0, 2, "アス") in atomic(rows)
