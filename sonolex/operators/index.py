@@ -65,6 +65,7 @@ class Index:
     token_prefixes: DataFrame
     documents: DataFrame | None
     longest: int | None = field(default=None)  # code points of the longest document, if known
+    tries: tuple[str, ...] = ("romaji", "kana", "other")  # those that hold tokens, as far as known
 
     @property
     def spark(self) -> SparkSession:
@@ -85,7 +86,7 @@ class Index:
         if bundle_documents and self.documents is not None:
             self.documents.write.mode("overwrite").parquet(f"{path}/documents")
             names.append("documents")
-        self.spark.createDataFrame([(n, self.longest) for n in names], "name string, longest int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+        _manifest(self.spark, path, names, self.longest, self.tries)
 
     def to_json(self) -> DataFrame:
         """One JSON record for each token: id, type, text and postings as [doc, start, end, start, end, ...]. (``export_json`` has the whole in one.)"""
@@ -95,6 +96,11 @@ class Index:
         return rows.select("token_id", F.to_json(F.struct(F.col("token_id").alias("tokenId"), F.col("type").alias("tokenType"), "text", "tokenReferences")).alias("json"))
 
 
+def _manifest(spark: SparkSession, path: str, names, longest: int | None, tries) -> None:
+    rows = [(n, longest, list(tries)) for n in names]
+    spark.createDataFrame(rows, "name string, longest int, tries array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
 def bundled(documents: DataFrame) -> DataFrame:
     """documents as the index keeps them."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -115,7 +121,7 @@ def build(documents: DataFrame, dictionaries: Dictionaries | None = None, path:
     stored(found.repartition("token_id").sortWithinPartitions("token_id", "doc_id"), f"{path}/postings")
     prefixes(tokens).write.mode("overwrite").partitionBy("trie").parquet(f"{path}/token_prefixes")
     longest = docs.agg(F.max(F.length("text"))).first()[0]
-    spark.createDataFrame([(n, longest) for n in (*TABLES, "documents")], "name string, longest int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    _manifest(spark, path, (*TABLES, "documents"), longest, sorted(r["trie"] for r in tokens.select("trie").distinct().collect()))
     return load(spark, path)
 
 
@@ -126,15 +132,15 @@ def _prefix_table(spark: SparkSession, path: str) -> DataFrame:
 
 def load(spark: SparkSession, path: str, documents: DataFrame | None = None) -> Index:
     """An index that was written; documents must come with it or be given."""
-    manifest = {r["name"]: r["longest"] for r in spark.read.parquet(f"{path}/manifest").collect()}
-    longest = manifest["tokens"]
+    manifest = {r["name"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}
+    longest, tries = manifest["tokens"]["longest"], tuple(manifest["tokens"]["tries"])
     if documents is not None:
         documents, longest = documents if "solid" in documents.columns else bundled(documents), None
     elif "documents" not in manifest:
         raise ValueError("the index holds no documents; pass them to load()")
     else:
         documents = spark.read.parquet(f"{path}/documents")
-    return Index(spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/postings"), _prefix_table(spark, path), documents, longest)
+    return Index(spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/postings"), _prefix_table(spark, path), documents, longest, tries)
 
 
 # --- interchange: one JSON object with documents, token types, references and three tries -----------------------------------------

@@ -77,30 +77,36 @@ def edges(index: Index, queries: DataFrame, trim: bool = False, long_vowel_at_en
     prefixes = index.token_prefixes
     kana = prefixes.where("trie = 'kana'")
     other = prefixes.where("trie = 'other'")
-    segs = resolve_marks(segments(queries, trim), kana.select("prefix").distinct())
-    segs = segs.where("moved")
+    segs = segments(queries, trim)
+    if "kana" in index.tries:
+        segs = resolve_marks(segs, kana.select("prefix").distinct()).where("moved")
+    else:  # no mark composes
+        segs = segs.where(~T.is_sound_mark(F.col("last")))
     keys = ["query_id", "l", "r", "n"]
 
-    latin = segs.where(F.col("bare").rlike("^[a-z-]+$")).select(*keys, "bare", T.reduce_romaji(F.col("bare")).alias("reduced"))
-    tokens = prefixes.where("trie = 'romaji' and is_exact").select("token_id", "prefix", phonetics.romaji_key(F.col("prefix")).alias("key"))
-    latin = latin.withColumn("key", phonetics.romaji_key(F.col("reduced")))
-    romaji = latin.join(tokens, "key").where(phonetics.reaches(F.col("reduced"), F.col("prefix"))).select(*keys, "bare", "token_id").distinct()
-    if not long_vowel_at_end:
-        before = romaji.select("query_id", "l", (F.col("r") + 1).alias("r"), "token_id", F.col("bare").alias("was"))
-        alive = other.select(F.col("prefix").alias("was")).distinct()
-        still = before.join(alive, "was", "left_anti").select("query_id", "l", "r", "token_id")
-        romaji = romaji.join(still, ["query_id", "l", "r", "token_id"], "left_anti")
-    romaji = romaji.select(*keys, "token_id", F.lit(True).alias("is_exact"), F.lit(0).alias("rank"))
-
-    own = segs.where("kana <> ''").select(*keys, F.col("kana").alias("prefix"), F.lit(True).alias("same"))
-    last = F.expr("substring(kana, length(kana), 1)")
-    voiced = [segs.where(last.isin(*pairs)).select(*keys, F.concat(F.expr("substring(kana, 1, length(kana) - 1)"), F.translate(last, "".join(pairs), "".join(pairs.values()))).alias("prefix"), F.lit(False).alias("same")) for pairs in T.COMPOSED.values()]
-    ways = own.unionByName(voiced[0]).unionByName(voiced[1])
-    found = ways.join(kana, "prefix").select(*keys, "token_id", (F.col("is_exact") & F.col("same")).alias("is_exact"), F.lit(1).alias("rank"))
-
     rest = segs.where("bare <> ''").select(*keys, F.col("bare").alias("prefix")).join(other, "prefix").where("is_exact or r = n - 1")
-    rest = rest.select(*keys, "token_id", "is_exact", F.lit(2).alias("rank"))
+    every = rest.select(*keys, "token_id", "is_exact", F.lit(2).alias("rank"))
+
+    if "romaji" in index.tries:
+        latin = segs.where(F.col("bare").rlike("^[a-z-]+$")).select(*keys, "bare", T.reduce_romaji(F.col("bare")).alias("reduced"))
+        tokens = prefixes.where("trie = 'romaji' and is_exact").select("token_id", "prefix", phonetics.romaji_key(F.col("prefix")).alias("key"))
+        latin = latin.withColumn("key", phonetics.romaji_key(F.col("reduced")))
+        romaji = latin.join(tokens, "key").where(phonetics.reaches(F.col("reduced"), F.col("prefix"))).select(*keys, "bare", "token_id").distinct()
+        if not long_vowel_at_end:
+            before = romaji.select("query_id", "l", (F.col("r") + 1).alias("r"), "token_id", F.col("bare").alias("was"))
+            alive = other.select(F.col("prefix").alias("was")).distinct()
+            still = before.join(alive, "was", "left_anti").select("query_id", "l", "r", "token_id")
+            romaji = romaji.join(still, ["query_id", "l", "r", "token_id"], "left_anti")
+        every = every.unionByName(romaji.select(*keys, "token_id", F.lit(True).alias("is_exact"), F.lit(0).alias("rank")))
+
+    if "kana" in index.tries:
+        own = segs.where("kana <> ''").select(*keys, F.col("kana").alias("prefix"), F.lit(True).alias("same"))
+        last = F.expr("substring(kana, length(kana), 1)")
+        for pairs in T.COMPOSED.values():
+            voiced = segs.where(last.isin(*pairs)).select(*keys, F.concat(F.expr("substring(kana, 1, length(kana) - 1)"), F.translate(last, "".join(pairs), "".join(pairs.values()))).alias("prefix"), F.lit(False).alias("same"))
+            own = own.unionByName(voiced)
+        found = own.join(kana, "prefix").select(*keys, "token_id", (F.col("is_exact") & F.col("same")).alias("is_exact"), F.lit(1).alias("rank"))
+        every = every.unionByName(found)
 
-    every = romaji.unionByName(found).unionByName(rest)
     every = every.groupBy(*keys, "token_id", "rank").agg((~F.max("is_exact")).alias("is_prefix"))
     return every.join(index.tokens.drop("trie"), "token_id")
