@@ -93,10 +93,11 @@ def span_length(span: Column) -> Column:
 
 def compose_dakuten(s: Column) -> Column:
     """Base kana with a combining sound mark become one code point."""
+    out = s
     for mark, pairs in COMPOSED.items():
         for base, one in pairs.items():
-            s = F.replace(s, F.lit(base + mark), F.lit(one))
-    return s
+            out = F.replace(out, F.lit(base + mark), F.lit(one))
+    return F.when(s.rlike(f"[{VOICED}{SEMIVOICED}]"), out).otherwise(s)  # few strings have a mark
 
 
 def rewritten(s: str, rules: list[tuple[str, str]]) -> str:

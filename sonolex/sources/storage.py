@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir. Without it only one machine can do: then its temporary folder is shared."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and spark.sparkContext.master.startswith("local["):
+    if not root and spark.sparkContext.master.split("[")[0] == "local":
         root = "file:///tmp/sonolex-shared"
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
