@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see. There is no other: a local one would be lost with its machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.master.startswith("local["):  # one machine: its temporary folder is shared
+    if not found and spark.sparkContext.master.split("[")[0] == "local":  # one machine: its temporary folder is shared
         found = "file:///tmp/sonolex-shared"
     if not found:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -64,10 +64,10 @@ class Scratch:
 KEY = "__row"
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def keyed(docs: DataFrame, scratch: Scratch, name: str = "keyed") -> DataFrame:
     """docs with a number for each row, stored, so that every later read finds the same. Rows are told apart by it alone: ids may
     be null or repeat."""
-    return scratch.save(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    return scratch.save(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

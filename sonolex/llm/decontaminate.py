@@ -255,7 +255,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, item_col: st
     """docs (id: the row's number, own: its own id, text) -> (id, own, item, matched, windows, literal)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("own"), F.col(item_text).alias("text")).dropDuplicates(["own", "text"])
-    item = scratch.save(keyed(items, scratch).withColumnRenamed(KEY, "id").mapInArrow(_windows(None, []), _ROW), "items")
+    item = scratch.save(keyed(items, scratch, "item-rows").withColumnRenamed(KEY, "id").mapInArrow(_windows(None, []), _ROW), "items")
     sizes = sorted(r["size"] for r in item.select("size").distinct().collect())  # WINDOW at most
     known = spark.sparkContext.broadcast(Known(item.select("h").distinct(), broadcast))
     found = scratch.save(docs.mapInArrow(_windows(known, sizes), _ROW).drop("n"), "found")

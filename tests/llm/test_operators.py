@@ -608,6 +608,38 @@ def test_sum_product_is_exact():
         assert all(abs(html._sigmoid(b) - x / total) < 1e-9 for b, x in zip(belief, one))
 
 
+def test_decontamination_of_awkward_rows(spark):
+    """Rows without an id or with one that repeats, very long texts, clashing names, short items, names of several words; a bitmap instead of all hashes."""
+    item = "In the evening Anna counts 12 red apples on the table and later Anna gives 5 of them to her old friend from school"
+    far = "word " * 40_000
+    rows = [(1, item), (1, "clean text"), (None, far + item + " " + far), (2, item.replace("Anna", "Mary Jane")), (2, item.replace("Anna", "Mary Jane")), (3, "there were 7 and 9"), (4, "the answer is ((((((((((42)))))))))) today"), (5, None), (6, "")]
+    docs_ = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, id int, item string")
+    items = spark.createDataFrame([(1, item), (1, "42"), (None, "clean text"), (9, None), (9, "")], "item_id long, text string")
+    want = collections.Counter([(1, 1, True), (None, 1, True), (2, 1, False), (2, 1, False), (4, 1, True), (1, None, True)])
+    for limit in (1000, 0):
+        assert collections.Counter((r["doc_id"], r["item_id"], r["literal"]) for r in decontaminate.contaminated(docs_, items, broadcast=limit).collect()) == want
+    left = decontaminate.without_contaminated(docs_, items)
+    assert left.columns == docs_.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 5, 6]
+
+
+def test_stages_on_empty_and_repeated_rows(spark, tmp_path):
+    """Every stage on no rows; of a row that is there twice, one comes out of the pipeline, whole."""
+    import corpus_pipeline as P
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    text = prose(90)
+    spark.createDataFrame([(1, text, "en", "s", 9)] * 2 + [(2, prose(60), "en", "s", 9)], kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none = spark.createDataFrame([], kinds)
+    for name, stage in P.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
+    encode = tokens.Encoder(tokens.default_tokenizer())
+    got = {r["doc_id"]: r["length"] for r in P.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and got[1] == len(encode(text)) // 4 + 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
