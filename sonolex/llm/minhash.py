@@ -14,9 +14,12 @@ What meets is confirmed on the full shingle sets:
 2. A half key that one class alone has can't be shared, so only shared half keys of both collections are
    paired. The centre of a table key is its first class; a class is compared with the smallest of its
    centres, one pair a class however many share a key.
-3. Confirmed links are contracted to components. Components that still share a table key make up a cluster,
-   and every class outside a cluster's largest component is compared with the whole cluster, in blocks; so
-   no link among what meets is lost, although no group is expanded into all of its pairs.
+3. Confirmed links are contracted to components. Components that still share a table key make up a cluster.
+   The classes of a cluster that is larger than a block are dealt to blocks at random, all pairs of a block are
+   compared and what links is contracted, again and again as long as that halves the classes outside the largest
+   components. Every class that is still outside its cluster's largest component is compared with the whole
+   cluster, in blocks; so no link among what meets is lost, although no group is expanded into all of its pairs.
+   A block gives a spanning forest of its links, fewer rows than it has classes.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are their own
 component; a text with fewer words than a shingle has one shingle, the whole sequence; an empty table gives an
@@ -131,10 +134,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _across(threshold: int):
+    """Links between components that join all that a block's comparisons join: one less than the components that meet in them."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ask = table["q"].to_numpy(zero_copy_only=False)
-        ids, comp = table["id"].to_numpy(), table["comp"].to_numpy()
+        ids, comp = table["id"].to_numpy(), table["comp"].to_numpy().copy()
         lists_ = table["s"].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
         edge = lists_.offsets.to_numpy()
         flat = lists_.values.to_numpy()
@@ -152,7 +157,9 @@ def _across(threshold: int):
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             common = np.bincount(owner[at], minlength=len(ids))
             ok = np.flatnonzero((common > 0) & (comp != comp[i]) & (100 * common >= threshold * (len(s) + size - common)))
-            ok = ok[np.unique(comp[ok], return_index=True)[1]]  # one link to a component joins it
+            new, at = np.unique(comp[ok], return_index=True)
+            ok = ok[at]  # one link to a component joins it
+            comp[np.isin(comp, new)] = comp[i]
             us += np.maximum(ids[i], ids[ok]).tolist()
             vs += np.minimum(ids[i], ids[ok]).tolist()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
@@ -163,27 +170,66 @@ def _across(threshold: int):
 BLOCK = 512
 
 
-def _compared(left: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
-    """Links between the components that still share a table key, in blocks of ``BLOCK`` by ``BLOCK`` classes.
-
-    Components that share keys make up a cluster. Every class outside a cluster's largest component is compared with
-    all of the cluster, so each pair of classes from different components is looked at: at least one of the two is
-    outside the largest. A block gets its sets once and gives links only.
-    """
+def _clusters(left: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Components that share a table key make up a cluster: (g, id, comp) of its classes, (g, top: its largest component, nm, nq: blocks of ``BLOCK`` that
+    its classes and those outside ``top`` fill, outside: their number)."""
     edges = left.where("comp <> top").select(F.col("comp").alias("u"), F.col("top").alias("v")).distinct()
-    clusters = scratch.save(connected_components(edges, scratch, "clusters"), "clusters")
+    clusters = scratch.save(connected_components(edges, scratch, f"clusters{turn}"), f"clusters{turn}")
     member = left.select("id", "comp").distinct().join(clusters.withColumnRenamed("node", "comp"), "comp").withColumnRenamed("component", "g")
-    member = scratch.save(member, "member")
+    member = scratch.save(member, f"member{turn}")
     sizes = member.groupBy("g", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"))
-    sizes = sizes.select("g", F.col("most.comp").alias("top"), F.ceil(F.col("n") / BLOCK).alias("nm"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("nq"))
+    outside = F.col("n") - F.col("most.n")
+    sizes = sizes.select("g", F.col("most.comp").alias("top"), F.ceil(F.col("n") / BLOCK).alias("nm"), F.ceil(outside / BLOCK).alias("nq"), outside.alias("outside"))
+    return member, scratch.save(sizes, f"sizes{turn}")
+
+
+def _compared(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """rows (g, i, j, id, comp, q): links between the components of a block (g, i, j), whose rows with ``q`` are compared with those without."""
+    return rows.join(sets, "id").groupBy("g", "i", "j").applyInArrow(_across(threshold), "u long, v long").distinct()
+
+
+def _dealt(member: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
+    """Every class of a cluster in one block, dealt anew each turn; those outside the largest component ask the others of their block."""
+    rows = member.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("id", F.lit(1000 + turn)), F.col("nm")))
+    rows = rows.withColumn("q", F.explode(F.when(F.col("comp") != F.col("top"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return rows.select("g", "i", F.lit(0).alias("j"), "id", "comp", "q")
+
+
+def _crossed(member: DataFrame, sizes: DataFrame) -> DataFrame:
+    """All classes of a cluster against those outside its largest component, in blocks of ``BLOCK`` by ``BLOCK`` classes.
+
+    So each pair of classes from different components is looked at: at least one of the two is outside the largest.
+    """
     rows = member.join(sizes, "g").withColumn("h", F.xxhash64("id", F.lit(17)))
     part = lambda n: F.pmod("h", F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     m = rows.select("g", part("nm").alias("i"), every("nq").alias("j"), "id", "comp", F.lit(False).alias("q"))
     q = rows.where("comp <> top").select("g", every("nm").alias("i"), part("nq").alias("j"), "id", "comp", F.lit(True).alias("q"))
-    both = m.unionByName(q).join(sets, "id")
-    return both.groupBy("g", "i", "j").applyInArrow(_across(threshold), "u long, v long").distinct()
+    return m.unionByName(q)
+
+
+def _rest(met: DataFrame, sets: DataFrame, links: DataFrame, comps: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    """comps, joined by the links among what meets (met: key, id) that the comparison with centres didn't find."""
+    turn, before, all_ = 0, None, False
+    while not all_:
+        crowd = met.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+        mixed = crowd.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+        mixed = mixed.agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.count("*").alias("comps")).where("comps > 1")
+        left = scratch.save(crowd.join(mixed.select("key", "top"), "key"), f"left{turn}")
+        if left.isEmpty():
+            break
+        member, sizes = _clusters(left, scratch, turn)
+        wide = sizes.where("nq > 1")
+        outside = wide.agg(F.sum("outside")).first()[0] or 0
+        all_ = not outside or before is not None and 2 * outside > before
+        before = outside
+        rows = _crossed(member, sizes) if all_ else _dealt(member, wide, turn)
+        links = scratch.save(links.unionByName(_compared(rows, sets, threshold)), f"links{turn}")
+        comps = scratch.save(connected_components(links, scratch, f"cc{turn}"), f"comps{turn}")
+        scratch.drop(f"left{turn}", f"member{turn}", f"clusters{turn}", f"links{turn - 1}")
+        turn += 1
+    return comps
 
 
 def _found(rows: DataFrame, scratch: Scratch, shingle: int, threshold: int, tables: int, half: int) -> tuple[DataFrame, DataFrame]:
@@ -203,16 +249,10 @@ def _found(rows: DataFrame, scratch: Scratch, shingle: int, threshold: int, tabl
     links = scratch.save(_linked(pairs, sets, threshold), "links")
     comps = scratch.save(connected_components(links, scratch), "comps")
 
-    crowd = met.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    sizes = crowd.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    left = scratch.save(crowd.join(mixed.select("key", "top"), "key"), "left")
-    if not left.isEmpty():
-        more = _compared(left, sets, scratch, threshold)
-        comps = scratch.save(connected_components(links.unionByName(more), scratch, "cc2"), "comps2")
+    comps = _rest(met, sets, links, comps, scratch, threshold)
     found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     found = scratch.save(found, "found")  # so that Spark can split the rows of a class that many copies share
-    scratch.drop("reps", "rows", "met", "pairs", "sets", "links", "left")
+    scratch.drop("reps", "rows", "met", "pairs", "sets", "links")
     return sketch.drop("a", "b"), found
 
 

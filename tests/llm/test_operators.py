@@ -109,6 +109,45 @@ def test_minhash_finds_links_of_many_near_copies(spark):
     assert got == want
 
 
+def test_minhash_links_of_a_block_are_a_forest():
+    """All pairs of 200 alike sets link; as many rows as it takes to join them come out, whoever asks."""
+    sets = [sorted({*range(100), 1000 + i}) for i in range(200)]
+    for asks in (range(200), range(0, 200, 3)):
+        rows = [(i, i, False, s) for i, s in enumerate(sets)] + [(i, i, True, sets[i]) for i in asks]
+        table = pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "comp": pa.array([r[1] for r in rows], pa.int64()), "q": pa.array([r[2] for r in rows]), "s": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
+        links = minhash._across(80)(table).to_pylist()
+        assert len(links) == 199
+        reach = {0}
+        for _ in links:
+            reach |= {x for r in links if reach & {r["u"], r["v"]} for x in (r["u"], r["v"])}
+        assert reach == set(range(200))
+
+
+def test_minhash_links_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """A group of several blocks whose texts meet but mostly miss their centre: the components of all pairs, from a few links a text."""
+    made = random.Random(5)
+    base = [made.choice(WORDS) + made.choice(WORDS) for _ in range(150)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for _ in range(made.randint(3, 6)):
+            own[made.randrange(150)] = made.choice(WORDS) + str(i)
+        rows.append((i, " ".join(own)))
+    want = {(i, m[0]) for i, m in enumerate(near(rows, 5)[1])}
+    counts, save = {}, minhash.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        counts[name] = out.count() if name.startswith("links") else 0
+        return out
+
+    monkeypatch.setattr(minhash, "BLOCK", 24)
+    monkeypatch.setattr(minhash.Scratch, "save", counted)
+    got = {(r["doc_id"], r["component"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert "links1" in counts and max(counts.values()) <= 4 * len(rows), counts
+
+
 def covered(seqs, window):
     count = collections.Counter(tuple(s[i : i + window]) for s in seqs for i in range(len(s) - window + 1))
     out = []
