@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sonolex.llm import bmw, decontaminate, html, langid, minhash, packing, pfp, repair, repeats, suffixtree, tokens, toxicity
@@ -429,6 +430,31 @@ def test_bm25_skips_documents_that_cannot_be_found():
     assert opened <= 3000 // bmw.BLOCK // 2 + 8 and len(best.id) == 10 and not any(best.id % 2)
 
 
+def test_bm25_holds_one_shard_at_a_time(spark, tmp_path):
+    """Each shard of a task is a row group of its own, in narrow integers, and has a bounded number of documents, however short."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(400)] + [(1000 + i, "") for i in range(bmw.DOCS + 50)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = bmw.build_index(docs_, f"file://{tmp_path}/index", shard_terms=8000)
+    sizes = [r["n_docs"] for r in index.collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= bmw.DOCS and len(sizes) == 7
+    groups = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in (tmp_path / "index").glob("*.parquet") for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert groups == [1] * len(sizes)
+    for n, kind in ((200, "u1"), (3000, "u2"), (70000, "u4")):
+        own = bmw.Shard.build(np.arange(n) * 10**12, np.ones(n, int), np.arange(n, dtype=np.uint64) % 7 + (1 << 60), np.arange(n))
+        back = bmw.Shard.unpack(own.pack())
+        assert all((getattr(back, f) == getattr(own, f)).all() for f, _ in bmw.Shard.FIELDS) and back.docs.dtype == kind
+
+
+def test_bm25_takes_fewer_long_queries_at_once(monkeypatch):
+    """Runs of queries end at a number of terms too; every query is in one run."""
+    monkeypatch.setattr(bmw, "TERMS_AT_ONCE", 100)
+    size = np.array([30] * 10 + [500, 1, 1, 99] + [0] * 300)
+    asked = bmw.Asked(np.concatenate([[0], np.cumsum(size)]), np.zeros(size.sum(), np.uint64), np.zeros(1, np.uint64), np.ones(1), 1.0)
+    runs = list(bmw._groups(asked, np.arange(len(size))))
+    assert np.concatenate(runs).tolist() == list(range(len(size)))
+    assert all(len(r) <= bmw.AT_ONCE and (len(r) == 1 or size[r].sum() <= 100) for r in runs) and len(runs) < 12
+
+
 def test_bm25_asks_with_documents(spark, tmp_path):
     texts = {i: prose(3 if i % 3 == 0 else 90) for i in range(90)} | {40: None, 61: BASE, 80: BASE, 83: BASE}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
