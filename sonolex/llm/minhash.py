@@ -173,7 +173,7 @@ BLOCK = 512
 def _clusters(left: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame]:
     """Components that share a table key make up a cluster: (g, id, comp) of its classes, (g, top: its largest component, nm, nq: blocks of ``BLOCK`` that
     its classes and those outside ``top`` fill, outside: their number)."""
-    edges = left.where("comp <> top").select(F.col("comp").alias("u"), F.col("top").alias("v")).distinct()
+    edges = left.where("comp <> top").select(F.col("comp").alias("u"), F.col("top").alias("v"))
     clusters = scratch.save(connected_components(edges, scratch, f"clusters{turn}"), f"clusters{turn}")
     member = left.select("id", "comp").distinct().join(clusters.withColumnRenamed("node", "comp"), "comp").withColumnRenamed("component", "g")
     member = scratch.save(member, f"member{turn}")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from sonolex.llm import bmw, decontaminate, html, langid, minhash, packing, pfp, repair, repeats, suffixtree, tokens, toxicity
+from sonolex.llm import bmw, components, decontaminate, html, langid, minhash, packing, pfp, repair, repeats, suffixtree, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h long"
 rng = random.Random(3)
@@ -149,6 +149,47 @@ def test_minhash_links_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert "links1" in counts and max(counts.values()) <= 4 * len(rows), counts
 
 
+def reached(edges):
+    """The smallest node that each node of the edges reaches."""
+    least = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    while True:
+        new = dict(least)
+        for u, v in edges:
+            if u in least and v in least and None not in (u, v):
+                new[u] = new[v] = min(new[u], new[v])
+        if new == least:
+            return least
+        least = new
+
+
+@pytest.mark.parametrize("small, chunk", [(1 << 20, 1 << 18), (1 << 20, 3), (0, 3), (0, 1 << 18), (40, 5)])
+def test_components(spark, monkeypatch, small, chunk):
+    """One task, rounds, and rounds until one task can do the rest: paths, stars, rings, random edges, repeats, self-loops and nulls."""
+    monkeypatch.setattr(components, "SMALL", small)
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    made = random.Random(4)
+    path = [*range(100, 130)]
+    made.shuffle(path)
+    edges = [*zip(path, path[1:]), *((200, 201 + i) for i in range(20)), *((260, 230 + i) for i in range(20)), (300, 301), (301, 302), (302, 300)]
+    edges += [(made.randrange(-60, 0), made.randrange(-60, 0)) for _ in range(40)]
+    edges += [(300, 301), (301, 300), (7, 7), (8, None), (None, 8), (None, None), (1 << 62, -(1 << 62))]
+    scratch = components.Scratch(spark, "components")
+    for rows in (edges, [(7, 7), (8, None)], []):
+        found = components.connected_components(spark.createDataFrame(rows, "u long, v long").repartition(3), scratch).collect()
+        assert len(found) == len({r["node"] for r in found}) and {r["node"]: r["component"] for r in found} == reached(rows)
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """A path of 300 nodes in mixed order: one stored table, however many rounds it would take."""
+    path = [*range(300)]
+    random.Random(2).shuffle(path)
+    names, save = [], components.Scratch.save
+    monkeypatch.setattr(components.Scratch, "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    found = components.connected_components(spark.createDataFrame([*zip(path, path[1:])], "u long, v long"), components.Scratch(spark, "components")).collect()
+    assert {(r["node"], r["component"]) for r in found} == {(i, 0) for i in range(300)}
+    assert len(names) == 1, names
+
+
 def covered(seqs, window):
     count = collections.Counter(tuple(s[i : i + window]) for s in seqs for i in range(len(s) - window + 1))
     out = []
