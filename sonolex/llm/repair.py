@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ARROW_BATCH_BYTES, Scratch, pieces, prepare
+from .common import ARROW_BATCH_BYTES, Scratch, hold, pieces, prepare, release
 from .tokens import END, default_tokenizer, encoder
 
 SHARD, LEAST, SLOTS = 1 << 20, 16, 1 << 18
 NO_ID = -(1 << 63)
 #: Rows of 16 bytes that are broadcast at most; one for a shard, so for about two terabytes of text.
 MOST_SENT = 500_000
+#: What is known of a symbol's place: it ends its document; the pair that it begins may be frequent (others stay rare, as old pairs only get fewer).
+_LAST, _OPEN = np.uint8(1), np.uint8(2)
 
 
 def _places_in(found: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -51,6 +53,40 @@ def _places_in(found: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _frequent(pair: np.ndarray, odd: np.ndarray, least: int, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur ``least`` times or more (sorted), how often they do, and where each of ``pair`` stands among them, or -1.
+    What is odd isn't counted. symbols: all are smaller.
+
+    Where a pair and its place fit 64 bits, they are sorted together, and what is found leads back to the places; else the pairs are sorted
+    alone and looked up."""
+    wide, far = max(symbols - 1, 1).bit_length(), len(pair).bit_length()
+    packed = 2 * wide + far <= 64
+    free = np.flatnonzero(~odd) if odd.any() else None
+    ordered = pair.copy() if free is None else pair[free]
+    if packed:
+        low = ordered & np.uint64(0xFFFFFFFF)
+        ordered >>= np.uint64(32)
+        ordered <<= np.uint64(wide)
+        ordered |= low
+        ordered <<= np.uint64(far)
+        ordered |= np.arange(len(pair), dtype=np.uint64) if free is None else free.view(np.uint64)
+    ordered.sort()
+    value = ordered >> np.uint64(far) if packed else ordered
+    edge = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
+    many = np.diff(edge)
+    some = many >= least
+    found = value[edge[:-1][some]]
+    if not len(found) or not packed:
+        return found, many[some], _places_in(found, pair) if len(found) else np.full(len(pair), -1)
+    name = np.full(len(pair), -1, np.int32)
+    own = (ordered[np.repeat(some, many)] & np.uint64((1 << far) - 1)).view(np.int64)
+    many = many[some]
+    name[own] = np.repeat(np.arange(len(found), dtype=np.int32), many)
+    left = np.flatnonzero(odd)
+    name[left] = name[left - 1]  # the same pair
+    return (found >> np.uint64(wide)) << np.uint64(32) | found & np.uint64((1 << wide) - 1), many, name
+
+
 def compress(ids: np.ndarray, borders: np.ndarray, least: int = LEAST, rounds: int | None = None):
     """(symbols, borders, rules, expansion lengths, first nonterminal) of a shard's ids (uint32).
 
@@ -60,32 +96,26 @@ def compress(ids: np.ndarray, borders: np.ndarray, least: int = LEAST, rounds: i
     first = nxt = int(seq.max()) + 1 if len(seq) else 0
     rules, sizes = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
     full = np.diff(borders) > 0  # an empty document has no symbols
-    last, starts = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
-    last[borders[1:][full] - 1] = True
-    starts[borders[:-1][full]] = True
-    open_ = ~last  # pairs that may be frequent; others stay rare, as old pairs only get fewer
+    mark = np.full(len(seq), _OPEN, np.uint8)
+    mark[borders[1:][full] - 1] |= _LAST
     while rounds is None or rounds > 0:
         rounds = rounds and rounds - 1
-        at = np.flatnonzero(open_)
+        at = np.flatnonzero(mark == _OPEN)
         if len(at) < least:
             break
         pair = np.ndarray(len(seq) - 1, "<u8", seq, strides=(4,))[at]  # the second id in the upper half
-        again = np.flatnonzero((pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)) + 1  # aaa: the pair overlaps with itself
+        again = np.flatnonzero(pair[1:] == pair[:-1])
+        again = again[at[again + 1] == at[again] + 1] + 1  # aaa: the pair overlaps with itself
         odd = np.zeros(len(at), bool)
         if len(again):
             head = np.ones(len(again), bool)
             head[1:] = again[1:] != again[:-1] + 1
             odd[again] = (np.arange(len(again)) - np.maximum.accumulate(np.where(head, np.arange(len(again)), 0))) % 2 == 0
-        ordered = np.sort(pair[~odd] if len(again) else pair)
-        edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
-        many = np.diff(edge)
-        some = np.flatnonzero(many >= least)
-        if not len(some):
+        found, many, name = _frequent(pair, odd, least, nxt)
+        if not len(found):
             break
-        found, many = ordered[edge[some]], many[some]
         rank = np.empty(len(found), np.int32)
         rank[np.lexsort((found, -many))] = np.arange(len(found), 0, -1)  # the most frequent has the highest
-        name = _places_in(found, pair)
         hit = np.flatnonzero(name >= 0)
         at, name, odd = at[hit], name[hit], odd[hit]
         # runs of one pair that overlaps with itself count as one hit; it wins if what overlaps at its ends is less frequent
@@ -110,19 +140,17 @@ def compress(ids: np.ndarray, borders: np.ndarray, least: int = LEAST, rounds: i
         sizes = np.concatenate([sizes, long])
         seq[put] = (nxt + number[name[chosen]]).astype(np.uint32)
         nxt += len(kept)
-        last[put] = last[put + 1]
         keep = np.ones(len(seq), bool)
         keep[put + 1] = False
-        open_[:] = False
-        open_[at] = True
-        open_[put] = True
         before = put[put > 0] - 1
         before = before - ~keep[before]  # the symbol before, if it was made of two just now
-        open_[before] = True
-        seq, last, starts, open_ = seq[keep], last[keep], starts[keep], open_[keep]
-        open_ &= ~last
+        mark &= _LAST
+        mark[at] = _OPEN
+        mark[put] = mark[put + 1] & _LAST | _OPEN
+        mark[before] |= _OPEN
+        seq, mark = seq[keep], mark[keep]
     edge = np.zeros(len(borders), np.int64)
-    edge[:-1][full] = np.flatnonzero(starts)
+    edge[:-1][full] = np.concatenate([[0], np.flatnonzero(mark & _LAST) + 1])[: full.sum()]  # a document begins where the one before ends
     edge[-1] = len(seq)
     edge = np.minimum.accumulate(np.where(np.append(full, True), edge, len(seq))[::-1])[::-1]
     return seq, edge, np.concatenate(rules), sizes, first
@@ -217,6 +245,7 @@ def _write(path: str, shard: int):
     def run(batches):
         encode, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         docs, held, total = [], [], 0
+        hold()
 
         def flush():
             borders = np.concatenate([[0], np.cumsum([len(h) for h in held])])
@@ -237,6 +266,7 @@ def _write(path: str, shard: int):
                     seq, docs, held, total = seq + 1, [], [], 0
         if docs:
             yield flush()
+        release()
 
     return run
 

@@ -13,7 +13,7 @@ import json
 import os
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 from operator import attrgetter
 
 import numpy as np
@@ -22,7 +22,7 @@ import regex
 
 from .common import bytes_of
 
-END, KEPT = 0, 200_000
+END, KEPT = 0, 400_000
 _ID = attrgetter("id")
 #: The pre-tokenizer's pattern and its map from bytes to characters (public, from byte-level BPE).
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -31,13 +31,16 @@ _CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(so
 
 #: White space other than spaces and line breaks; texts with any of it are encoded whole.
 _ODD = [c.encode() for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-_ODD_BYTE, _ODD_LEAD = np.zeros(256, bool), np.zeros(256, bool)
-_ODD_BYTE[[c[0] for c in _ODD if len(c) == 1]] = True
-_ODD_LEAD[[c[0] for c in _ODD if len(c) > 1]] = True
 _ODD_LONG = [c for c in _ODD if len(c) > 1]
-_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
-_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 192)]] = True
+#: What each byte may be: punctuation that is cut off, the last of a letter, odd white space or the first of it, a space or line break.
+_MARK, _LETTER, _ODD_BYTE, _ODD_LEAD, _SPACE = 1, 2, 4, 8, 16
+_KIND = np.zeros(256, np.uint8)
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARK
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 192)]] = _LETTER
+_KIND[[c[0] for c in _ODD if len(c) == 1]] |= _ODD_BYTE
+_KIND[[*{c[0] for c in _ODD if len(c) > 1}]] |= _ODD_LEAD
+_KIND[[10, 32]] |= _SPACE
+_KIND = _KIND.tobytes()
 
 
 def default_tokenizer() -> str:
@@ -74,36 +77,42 @@ class _Memory:
 
     def _encoded(self, units: list[str]) -> list[bytes]:
         """Ids of units by the library's model: a word is one token of the pre-tokenizer, other units are cut as it cuts them."""
-        parts = [[u] if u.isalpha() or u[1:].isalpha() and u[0] == " " else _WORD.findall(u) for u in units]
-        flat = [x for p in parts for x in p]
+        flat, edge = [], [0]
+        for u in units:
+            if u.isalpha() or u[1:].isalpha() and u[0] == " ":
+                flat.append(u)
+            else:
+                flat += _WORD.findall(u)
+            edge.append(len(flat))
         if not flat:
             return [b""] * len(units)
-        if any("\0" in x for x in flat):
+        joined = "\0".join(flat)
+        if joined.count("\0") >= len(flat):
             shown = [x.encode().decode("latin-1").translate(_CHARS) for x in flat]
         else:
-            shown = "\0".join(flat).encode().decode("latin-1").translate(_CHARS).split(_CHARS[0])
-        found = [*map(self.tokenize, shown)]
-        ids = array("I", map(_ID, chain.from_iterable(found))).tobytes()
-        size = np.zeros(len(flat) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(flat)) * 4, out=size[1:])
-        edge = size[np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])].tolist()
-        return [ids[a:b] for a, b in zip(edge, edge[1:])]
+            shown = joined.encode().decode("latin-1").translate(_CHARS).split(_CHARS[0])
+        ids, size = array("I"), [0]
+        for x in shown:  # one at a time, so that the library's tokens are freed at once
+            ids.extend(map(_ID, self.tokenize(x)))
+            size.append(4 * len(ids))
+        raw = ids.tobytes()
+        return [raw[size[a] : size[b]] for a, b in pairwise(edge)]
 
 
-def _marks(data: np.ndarray) -> np.ndarray:
+def _marks(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Places of punctuation right behind a letter (ASCII, or of Latin-1 in two bytes); the pre-tokenizer always cuts there. An
     apostrophe may go on as a contraction, so it isn't one."""
-    at = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+    at = np.flatnonzero((kind[1:] & (kind[:-1] >> 1) & _MARK).view(bool)) + 1
     two = at[data[at - 1] >= 128]
     two = two[two > 1]
     sure = (data[two - 2] == 0xC3) & (data[two - 1] != 0x97) & (data[two - 1] != 0xB7)
     return np.concatenate([at[data[at - 1] < 128], two[sure]])
 
 
-def _odd_places(data: np.ndarray) -> np.ndarray:
+def _odd_places(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Places of white space that is neither a space nor a line break."""
-    found = [np.flatnonzero(_ODD_BYTE[data])]
-    lead = np.flatnonzero(_ODD_LEAD[data])
+    found = [np.flatnonzero(kind & _ODD_BYTE)]
+    lead = np.flatnonzero(kind & _ODD_LEAD)
     for c in _ODD_LONG if len(lead) else ():
         at = lead[lead + len(c) <= len(data)]
         for i, byte in enumerate(c):
@@ -127,13 +136,12 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _plain_texts(self, data: np.ndarray, space: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _plain_texts(self, raw: bytes, data: np.ndarray, kind: np.ndarray, space: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which texts may be cut into words."""
         n, full = len(at) - 1, at[1:] > at[:-1]
         out = np.full(n, bool(self.plain))
         out[full] &= ~(space[at[:-1][full]] | space[at[1:][full] - 1])
-        bad = [np.flatnonzero(space[1:] & space[:-1]), _odd_places(data)]
-        raw = data.tobytes()
+        bad = [np.flatnonzero(space[1:] & space[:-1]), _odd_places(data, kind)]
         for s in self.special:
             i = raw.find(s) if s else -1
             while i >= 0:
@@ -147,13 +155,15 @@ class Encoder:
         them; a null is empty."""
         data, at = bytes_of(texts)
         at = np.asarray(at, np.int64)
-        space = (data == 32) | (data == 10)
-        plain = self._plain_texts(data, space, at)
+        raw = data.tobytes()
+        kind = np.frombuffer(raw.translate(_KIND), np.uint8)
+        space = (kind & _SPACE) > 0
+        plain = self._plain_texts(raw, data, kind, space, at)
         cut = np.flatnonzero(space)
         if not plain.all():
             cut = cut[plain[np.searchsorted(at, cut, "right") - 1]]
         after = cut[data[cut] == 10] + 1  # a line's first word has no space
-        marks = _marks(data)
+        marks = _marks(data, kind)
         if not plain.all():
             marks = marks[plain[np.searchsorted(at, marks, "right") - 1]]
         cuts = np.concatenate([cut, after, marks, at])
@@ -171,9 +181,8 @@ class Encoder:
             ids = [_bytes(self.whole(w)) if o else next(known) for w, o in zip(words, flags)]
         else:
             ids = self.memory.ids(words)
-        upto = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=upto[1:])
-        lists = pa.LargeListArray.from_arrays(pa.array(upto), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        flat_ids, upto = bytes_of(pa.array(ids, pa.large_binary()))
+        lists = pa.LargeListArray.from_arrays(pa.array(upto // 4), pa.array(flat_ids.view("<u4")))
         flat = lists.take(units.indices)
         borders = flat.offsets.to_numpy()[np.searchsorted(cuts, at)]
         out = flat.values.to_numpy()[flat.offsets[0].as_py() : flat.offsets[-1].as_py()]

@@ -301,6 +301,18 @@ def test_token_columns_equal_the_library():
         assert e.column(pa.array(some, pa.string()), 7)[0].tolist() == [7] * len(some)
 
 
+def test_token_memory_keeps_many_words(monkeypatch):
+    """Words of a few columns are asked of the library once."""
+    e, asked = tokens.Encoder(tokens.default_tokenizer()), []
+    encoded_ = e.memory._encoded
+    monkeypatch.setattr(e.memory, "_encoded", lambda units: asked.append(len(units)) or encoded_(units))
+    columns = [pa.array([" ".join(f"w{i:x}" for i in range(low, low + 1000)) for low in range(start, start + 100_000, 1000)]) for start in range(100_000, 600_000, 100_000)]
+    first = [e.column(c)[0].tolist() for c in columns]
+    assert sum(asked) == 500_000
+    asked.clear()
+    assert [e.column(c)[0].tolist() for c in columns] == first and sum(asked) == 0
+
+
 @pytest.mark.parametrize("sent", [0, 500_000])
 def test_token_files(spark, docs, none, tmp_path, monkeypatch, sent):
     path = f"file://{tmp_path}/ids"
@@ -356,6 +368,21 @@ def test_repair_goes_on_until_no_pair_is_frequent(slots, monkeypatch):
     assert repair.expand(long, rules, sizes, first).tolist() == np.tile(ids, 60).tolist()
 
 
+def test_repair_sorts_pairs_with_their_places(monkeypatch):
+    """Pairs that fit 64 bits with their places aren't looked up; wide ones are, with the same grammar."""
+    made, high = random.Random(8), 1 << 31
+    shards = []
+    for _ in range(30):
+        docs_ = [[made.randint(0, made.choice([0, 1, 3, 9])) for _ in range(made.choice([0, 1, 2, 50, 300]))] for _ in range(made.randint(0, 6))]
+        shards.append((np.array([x for d in docs_ for x in d], np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs_])]).astype(np.int64)))
+    wide = [repair.compress(ids + np.uint32(high), borders, 3) for ids, borders in shards]
+    monkeypatch.setattr(repair, "_places_in", None)
+    for (ids, borders), (seq, edge, rules, sizes, first) in zip(shards, wide):
+        got = repair.compress(ids, borders, 3)
+        assert (got[0] + np.uint32(high)).tolist() == seq.tolist() and got[1].tolist() == edge.tolist()
+        assert (got[2] + np.uint32(high)).tolist() == rules.tolist() and got[3].tolist() == sizes.tolist()
+
+
 def test_packing(docs, none):
     ids, rows = encoded(), packing.pack_documents(docs).collect()
     bins = collections.defaultdict(list)
