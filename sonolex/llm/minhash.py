@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import KEY, Scratch, bytes_of, keyed, lists, mix, pieces, prepare, spread, windowed, words
+from .common import KEY, Scratch, among, bytes_of, keyed, lists, mix, pieces, prepare, spread, windowed, words
 from .components import connected_components
 
 SHINGLE, THRESHOLD, TABLES, HALF = 5, 80, 16, 4
@@ -244,7 +244,7 @@ def _found(rows: DataFrame, scratch: Scratch, shingle: int, threshold: int, tabl
     met = scratch.save(keys.join(tops, "key"), "met")
     pairs = met.groupBy(F.col("id").alias("u")).agg(F.min("c").alias("v")).where("u <> v")
     pairs = scratch.save(pairs, "pairs")
-    sets = spread(rows.join(met.select("id").distinct(), "id"))
+    sets = spread(among(rows, met.select("id").distinct(), scratch, "asked", "id")[0])
     sets = scratch.save(sets.mapInArrow(_sets(shingle), "id long, s array<long>"), "sets")
     links = scratch.save(_linked(pairs, sets, threshold), "links")
     comps = scratch.save(connected_components(links, scratch), "comps")
@@ -287,7 +287,7 @@ def without_near_duplicates(
     least = scratch.save(sketch.where("n > 0").groupBy("n", "f1", "f2").agg(first.alias("f")).join(found, ["n", "f1", "f2"]), "least")
     stay = least.groupBy("component").agg(F.min("f").alias("f")).select(F.col("f.id").alias(KEY))
     stay = scratch.save(stay.unionByName(sketch.where("n = 0").select(F.col("id").alias(KEY))), "stay")
-    return held.join(stay, KEY, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    return among(held, stay, scratch, "staying")[0].select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import KEY, Scratch, bytes_of, doubled, keyed, lists, mix, pieces, prepare, spread
+from .common import KEY, Scratch, among, bytes_of, doubled, keyed, lists, mix, pieces, prepare, spread
 
 HOT, PART, FINE = 2000, 2 << 20, 8
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -277,11 +277,13 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     reps = scan.select("id", "h", "lo", "cnt").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     rows = reps.select("id", F.explode(F.arrays_zip("h", "lo", "cnt")).alias("a")).select("id", "a.*")
     rows = scratch.save(rows, "rows")
+    scratch.drop("scan", "classes")
     counts = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
     counts = scratch.save(counts, "counts")  # so that Spark can split the rows of a hot anchor
     shared = rows.join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "lo", "cnt", "hot")).alias("at"))
     cut = docs.join(shared, "id").select("id", "text", F.expr("array_sort(at, (x, y) -> x.lo - y.lo)").alias("at"))
     slices = scratch.save(cut.mapInArrow(_slices(units, window), "h long, id long, lo int, cnt int, body binary, sh long, hot boolean, copies int"), "slices")
+    scratch.drop("rows", "counts")
     cold = spread(slices.where("not hot").drop("sh", "hot", "copies"), "h").sortWithinPartitions("h").mapInArrow(_solve(solver, window), "id long, lo int, hi int")
     going = slices.where("hot and copies > 0")
     kinds = going.groupBy("h", "sh", "cnt").agg(F.sum("copies").alias("c"), F.min(F.struct("id", "lo")).alias("first"))
@@ -301,11 +303,15 @@ def repeats(docs: DataFrame, units, solver, window: int, gram: int, tag: str) ->
     found = single.where("copies = 1").join(again, "w").select("id", "lo", "hi")
     hot = alike.unionByName(found).unionByName(single.where("copies = 0").select("id", "lo", "hi"))
     spans = scratch.save(cold.unionByName(hot), "spans")
-    scratch.drop("scan", "classes", "rows", "counts", "slices", "kinds", "hot", "cores0", f"cores{FINE}", "shared0", f"shared{FINE}", "windows")
+    scratch.drop("slices", "kinds", "hot", "cores0", f"cores{FINE}", "shared0", f"shared{FINE}", "windows")
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("whole", F.lit(False))
     marks = marks.join(copied, "id", "left_anti")
-    marks = marks.unionByName(copied.select("id", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(True).alias("whole")))
-    return carried.join(marks, "id", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    marks = scratch.save(marks.unionByName(copied.select("id", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(True).alias("whole"))), "marks")
+    scratch.drop("spans", "copied")
+    # texts that lose nothing aren't shuffled
+    cut, clean = among(carried, marks.select("id"), scratch, "marked", "id")
+    clean = clean.withColumn("spans", F.lit(None).cast(marks.schema["spans"].dataType)).withColumn("whole", F.lit(False))
+    return cut.join(marks, "id").unionByName(clean)
 
 
 def removed_units(whole: np.ndarray, spans, border: np.ndarray) -> np.ndarray:
